@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from jobloom.functions import similarity as S
 from jobloom.functions import text as X
@@ -53,7 +54,7 @@ def posting_similarity_udf():
     """Similarity of two normalised texts as one Arrow function, for SQL callers."""
     import pandas as pd
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def similarity_of(a: pd.Series, b: pd.Series) -> pd.Series:
         def one(x, y):
             x, y = x or "", y or ""

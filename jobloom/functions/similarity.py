@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from jobloom.functions.text import WORD, col, is_unstated, normalize_text
 
@@ -62,7 +63,7 @@ def _ratio(a: str, b: str) -> float:
     return difflib.SequenceMatcher(None, a, b).ratio()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff/Obershelp ratio; the order of the arguments matters."""
     return pd.Series([_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
@@ -79,7 +80,7 @@ def _ratio_at_least(a: str | None, b: str | None, threshold: float) -> float:
     return ratio if ratio >= threshold else -1.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def seq_ratio_at_least(a: pd.Series, b: pd.Series, threshold: pd.Series) -> pd.Series:
     return pd.Series([_ratio_at_least(x, y, t) for x, y, t in zip(a, b, threshold)], dtype="float64")
 

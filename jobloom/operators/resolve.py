@@ -29,7 +29,7 @@ from jobloom import rules as R
 from jobloom.functions.similarity import reaches
 from jobloom.functions.text import block_key, is_unstated, normalize_text
 from jobloom.operators.blocking import lengths_allow, rare_pieces
-from jobloom.session import ensure_checkpoint_dir
+from jobloom.session import saved
 
 COMPARED = ["company_name", "job_title", "salary", "level"]
 CROWDED = 50  # pairs per bucket entry above which leaders go first
@@ -49,11 +49,6 @@ def source_rank(sources: Sequence[str]) -> Column:
     return F.when(at > 0, at).otherwise(len(sources) + 1)
 
 
-def _saved(df: DataFrame) -> DataFrame:
-    """Write to the shared checkpoint folder and go on from there."""
-    return df.checkpoint(eager=True)
-
-
 # ---- 1. order and profiles --------------------------------------------------------------
 
 def comparable(df: DataFrame, rule: MatchRule) -> DataFrame:
@@ -96,7 +91,7 @@ def _with_shared_url(rows: DataFrame) -> DataFrame:
 def _nodes(rows: DataFrame) -> DataFrame:
     """One node per (profile, shared URL), named by the rank of its first posting."""
     return rows.groupBy("profile", "shared", "block").agg(
-        F.min("rank").alias("node"), F.max("rank").alias("last"),
+        F.min("rank").alias("node"),
         F.min_by("job_url", "rank").alias("url"), F.min_by("source", "rank").alias("src"),
         F.max("existing").alias("existing"),
         *[F.first(x).alias(x) for x in ("c", "t", "s", "l")])
@@ -121,16 +116,17 @@ def _similar_companies(companies: DataFrame, rule: MatchRule) -> DataFrame:
     return both.filter(reaches("c", "near", rule.threshold, rule.use_characters))
 
 
-def _entries(profiles: DataFrame, rule: MatchRule) -> tuple[DataFrame, DataFrame]:
-    """Bucket entries of profiles: under their own company, and under similar ones too."""
-    pieces = rare_pieces(profiles, "t", rule.threshold, rule.use_characters)
-    slim = profiles.select("profile", "c", "t", "first", "last", F.length("t").alias("len"),
-                           F.size(F.split("t", " ")).alias("words"))
-    own = slim.join(pieces, "t").drop("t")
+def _entries(profiles: DataFrame, rule: MatchRule) -> DataFrame:
+    """Bucket entries of profiles: under their own company (``own``) and, to look for
+    candidates only, under similar ones."""
+    slim = profiles.select("profile", "c", "t", "first", "last", F.lit(True).alias("own"))
     near = _similar_companies(profiles, rule)
-    other = (slim.join(near, "c").select("profile", F.col("near").alias("c"), "t", "first", "last", "len", "words")
-             .join(pieces, "t").drop("t"))
-    return own, own.unionByName(other)
+    other = slim.join(near, "c").select(
+        "profile", F.col("near").alias("c"), "t", "first", "last", F.lit(False).alias("own"))
+    pieces = rare_pieces(profiles, "t", rule.threshold, rule.use_characters)
+    return slim.unionByName(other).join(pieces, "t").select(
+        "profile", "c", "piece", "first", "last", "own", F.length("t").alias("len"),
+        F.size(F.split("t", " ")).alias("words"))
 
 
 def _same_bucket(later: DataFrame, earlier: DataFrame, rule: MatchRule, *more: Column) -> DataFrame:
@@ -165,8 +161,9 @@ def _matching(pairs: DataFrame, profiles: DataFrame, rule: MatchRule) -> DataFra
 
 
 def _profiles(nodes: DataFrame) -> DataFrame:
+    """Profiles with the ranks of their first and last node; most have one node."""
     return nodes.groupBy("profile").agg(
-        F.min("node").alias("first"), F.max("last").alias("last"),
+        F.min("node").alias("first"), F.max("node").alias("last"),
         *[F.first(x).alias(x) for x in ("c", "t", "s", "l", "block")])
 
 
@@ -177,61 +174,63 @@ def _crowding(own: DataFrame) -> float:
     return (pairs or 0.0) / max(entries or 0.0, 1.0)
 
 
-def _leaders(profiles: DataFrame, own: DataFrame, every: DataFrame, shared: DataFrame, rule: MatchRule,
-             crowded: float = CROWDED, rounds: int = LEADER_ROUNDS) -> tuple[DataFrame | None, DataFrame | None]:
-    """(leaders, profile -> leader) found before full pairing; (None, None) if not crowded.
+def _leaders(nodes: DataFrame, profiles: DataFrame, own: DataFrame, every: DataFrame, rule: MatchRule,
+             crowded: float) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """(leaders, absorbed, matches) found before full pairing, or None if not crowded.
 
-    ``shared`` lists profiles with a URL that also occurs in another profile; they wait for
-    the general rounds, and so does everything behind them.
+    A leader has no earlier undecided posting in any bucket and matched no earlier leader,
+    so the scan keeps it; what matches it later is absorbed.  Two kinds of profiles are
+    left to the general rounds: those sharing a URL with another profile are neither
+    leaders nor absorbed, and those of the master are never absorbed.
     """
     if _crowding(own) <= crowded:
-        return None, None
+        return None
     spark = profiles.sparkSession
-    leaders = spark.createDataFrame([], "profile string, first bigint")
-    absorbed = spark.createDataFrame([], "profile string, candidate string, at bigint")
-    for _ in range(rounds):
-        decided = leaders.select("profile").unionByName(absorbed.select("profile"))
+    shared = saved(nodes.filter(F.col("shared") != "").select("profile").distinct())
+    pinned = saved(nodes.filter((F.col("shared") != "") | F.col("existing")).select("profile").distinct())
+    leaders = spark.createDataFrame([], "profile string")
+    absorbed = spark.createDataFrame([], "profile string, at bigint")
+    matches = spark.createDataFrame([], "profile string, candidate string")
+    for _ in range(LEADER_ROUNDS):
+        decided = leaders.unionByName(absorbed.select("profile"))
         live_own = own.join(decided, "profile", "left_anti")
-        live_every = every.join(decided, "profile", "left_anti")
+        live = every.join(decided, "profile", "left_anti")
         heads = live_own.groupBy("c", "piece").agg(F.min("first").alias("head"))
-        earliest = live_every.join(heads, ["c", "piece"]).groupBy("profile").agg(
+        earliest = live.join(heads, ["c", "piece"], "left").groupBy("profile").agg(
             F.min("head").alias("head"), F.min("first").alias("first"))
-        new = _saved(earliest.filter(F.col("head") >= F.col("first")).select("profile", "first")
-                     .join(shared, "profile", "left_anti"))
+        new = saved(earliest.filter(F.coalesce(F.col("head") >= F.col("first"), F.lit(True)))
+                     .select("profile", "first").join(shared, "profile", "left_anti"))
         if new.isEmpty():
             break
-        pairs = _same_bucket(live_every, live_own.join(new.select("profile"), "profile", "left_semi"), rule)
-        found = _matching(pairs, profiles, rule).join(
-            new.select(F.col("profile").alias("candidate"), F.col("first").alias("at")), "candidate")
-        # A profile with a shared URL may hold a posting before its leader; leave it open.
-        found = found.join(shared, "profile", "left_anti").groupBy("profile").agg(
-            F.min_by("candidate", "at").alias("candidate"), F.min("at").alias("at"))
-        leaders = _saved(leaders.unionByName(new))
-        absorbed = _saved(absorbed.unionByName(found.select("profile", "candidate", "at")))
-        open_own = own.join(leaders.select("profile").unionByName(absorbed.select("profile")), "profile", "left_anti")
-        if _crowding(open_own) <= crowded:
+        pairs = _same_bucket(live, live_own.join(new.select("profile"), "profile", "left_semi"), rule)
+        found = saved(_matching(pairs, profiles, rule))
+        at = new.select(F.col("profile").alias("candidate"), F.col("first").alias("at"))
+        gone = (found.join(pinned, "profile", "left_anti").join(at, "candidate")
+                .groupBy("profile").agg(F.min("at").alias("at")))
+        leaders = saved(leaders.unionByName(new.select("profile")))
+        absorbed = saved(absorbed.unionByName(gone))
+        matches = matches.unionByName(found)
+        rest = own.join(leaders.unionByName(absorbed.select("profile")), "profile", "left_anti")
+        if _crowding(rest) <= crowded:
             break
-    return leaders, absorbed
+    return leaders, absorbed, matches
 
 
 def match_edges(nodes: DataFrame, rule: MatchRule, crowded: float = CROWDED) -> DataFrame:
     """All (profile, candidate) matches that can decide or name a copy."""
-    profiles = _saved(_profiles(nodes))
-    own, every = _entries(profiles, rule)
-    own, every = _saved(own), _saved(every)
-    shared = nodes.filter(F.col("shared") != "").select("profile").distinct()
-    leaders, absorbed = _leaders(profiles, own, every, shared, rule, crowded)
-    if absorbed is None:
+    profiles = saved(_profiles(nodes))
+    every = saved(_entries(profiles, rule))
+    own = every.filter("own")
+    found = _leaders(nodes, profiles, own, every, rule, crowded)
+    if found is None:
         return _matching(_same_bucket(every, own, rule), profiles, rule)
-    # Copies of a leader can still belong to an earlier kept posting; they never are
-    # candidates themselves.
-    limit = absorbed.select("profile", "at")
-    later = every.join(limit, "profile", "left")
+    leaders, absorbed, matches = found
+    # Leaders have no earlier match beyond those found.  An absorbed profile can still
+    # belong to a posting kept before its leader, but is no candidate itself.
+    later = every.join(leaders, "profile", "left_anti").join(absorbed, "profile", "left")
     earlier = own.join(absorbed.select("profile"), "profile", "left_anti")
     before_leader = F.coalesce(F.col("b.first") < F.col("a.at"), F.lit(True))
-    pairs = _same_bucket(later, earlier, rule, before_leader)
-    pairs = pairs.join(leaders.select("profile"), "profile", "left_anti")
-    return _matching(pairs, profiles, rule).unionByName(absorbed.select("profile", "candidate"))
+    return _matching(_same_bucket(later, earlier, rule, before_leader), profiles, rule).unionByName(matches)
 
 
 # ---- 3. the scan's decisions ------------------------------------------------------------
@@ -257,14 +256,14 @@ def _decide(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             .unionByName(nodes.filter(F.col("shared") != "").select("profile")).distinct())
     slim = nodes.select("node", "profile", "block", "shared",
                         F.when(F.col("existing"), "kept").otherwise("open").alias("state"))
-    active = _saved(slim.join(busy, "profile", "left_semi"))
+    active = saved(slim.join(busy, "profile", "left_semi"))
     while not active.filter(F.col("state") == "open").isEmpty():
         seen = _neighbourhood(active, edges)
         copy = F.col("first_kept") < F.col("node")
         alone = F.col("first_open") >= F.col("node")
         state = (F.when(F.col("state") != "open", F.col("state")).when(F.coalesce(copy, F.lit(False)), "copy")
                  .when(alone, "kept").otherwise("open"))
-        active = _saved(seen.select("node", "profile", "block", "shared", state.alias("state")))
+        active = saved(seen.select("node", "profile", "block", "shared", state.alias("state")))
     linked = _neighbourhood(active, edges).select("node", "state", F.col("first_kept").alias("link"))
     return nodes.join(linked, "node", "left").withColumns({
         "state": F.coalesce("state", F.lit("kept")), "link": F.coalesce("link", "node")})
@@ -277,11 +276,10 @@ def resolve(postings: DataFrame, master: DataFrame | None = None, sources: Seque
 
     Columns: rank, job_url, source, status, kept_url, kept_source.
     """
-    ensure_checkpoint_dir(postings.sparkSession)
-    rows = _saved(_with_shared_url(_saved(_ranked(postings, master, sources, rule))))
-    nodes = _saved(_nodes(rows))
-    edges = _saved(match_edges(nodes, rule, crowded))
-    decided = _saved(_decide(nodes, edges).select("node", "profile", "shared", "block", "state", "link", "url", "src"))
+    rows = _with_shared_url(saved(_ranked(postings, master, sources, rule)))
+    nodes = saved(_nodes(rows))
+    edges = saved(match_edges(nodes, rule, crowded))
+    decided = _decide(nodes, edges).select("node", "profile", "shared", "block", "state", "link", "url", "src")
     kept = decided.select(F.col("node").alias("link"), F.col("url").alias("kept_url"), F.col("src").alias("kept_source"))
     named = decided.join(kept, "link").select("profile", "shared", "block", "node", "state", "kept_url", "kept_source")
     first = (F.col("rank") == F.col("node")) & (F.col("state") == "kept")

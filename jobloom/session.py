@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -26,13 +27,29 @@ def local_session(cpus: int | str = 8, app: str = "jobloom", **conf: str) -> Spa
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; without one (tests) take a scratch folder."""
-    if spark.conf.get("spark.checkpoint.dir", None):
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-        return
-    if spark.sparkContext.getCheckpointDir() is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="jobloom-checkpoint-"))
+def scratch_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: the shared one the cluster names in
+    ``spark.checkpoint.dir``.  Only a local session without that setting gets its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    global _local_scratch
+    if _local_scratch is None:
+        _local_scratch = tempfile.mkdtemp(prefix="jobloom-scratch-")
+    return _local_scratch
+
+
+_local_scratch: str | None = None
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Write an intermediate result to the scratch folder and read it back.
+
+    This cuts the lineage, survives lost executors, and gives the planner true sizes.
+    """
+    spark = df.sparkSession
+    path = f"{scratch_folder(spark).rstrip('/')}/jobloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
