@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from jobloom.functions import similarity as S
 from jobloom.functions import text as X
@@ -45,25 +43,7 @@ def register_functions(spark: SparkSession) -> list[str]:
     define("posting_jaccard", ["a", "b"], "DOUBLE",
            "CASE WHEN size(array_union(split(a, ' '), split(b, ' '))) = 0 THEN 0D ELSE "
            "size(array_intersect(split(a, ' '), split(b, ' '))) / size(array_union(split(a, ' '), split(b, ' '))) END")
-    spark.udf.register("posting_similarity", posting_similarity_udf())
+    spark.udf.register("posting_mixed", S.mixed_similarity)
+    define("posting_similarity", ["a", "b"], "DOUBLE", "posting_mixed(posting_normalize(a), posting_normalize(b))")
     return ["posting_normalize", "posting_trigrams", "trigram_similarity", "province_of",
-            "posting_jaccard", "posting_seq_ratio", "posting_similarity"]
-
-
-def posting_similarity_udf():
-    """Similarity of two normalised texts as one Arrow function, for SQL callers."""
-    import pandas as pd
-
-    @F.pandas_udf(DoubleType())
-    def similarity_of(a: pd.Series, b: pd.Series) -> pd.Series:
-        def one(x, y):
-            x, y = x or "", y or ""
-            if x == y:
-                return 1.0
-            if not x or not y:
-                return 0.0
-            sx, sy = set(x.split()), set(y.split())
-            return max(S._ratio(x, y), len(sx & sy) / len(sx | sy))
-        return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
-
-    return similarity_of
+            "posting_jaccard", "posting_seq_ratio", "posting_mixed", "posting_similarity"]

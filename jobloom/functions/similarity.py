@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -23,11 +24,18 @@ def trigrams(c: str | Column) -> Column:
     return F.array_distinct(F.flatten(per_word))
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def set_overlap(a: Column, b: Column) -> Column:
     """Shared over all elements of two arrays of distinct values; 0 when both are empty."""
-    shared = F.size(F.array_intersect(a, b))
-    total = F.size(a) + F.size(b) - shared
-    return F.when(total > 0, shared / total).otherwise(0.0)
+    def share(p: Column) -> Column:
+        return bind(F.size(F.array_intersect(p["a"], p["b"])), lambda shared: F.when(
+            F.size(p["a"]) + F.size(p["b"]) > 0, shared / (F.size(p["a"]) + F.size(p["b"]) - shared)).otherwise(0.0))
+
+    return bind(F.struct(a.alias("a"), b.alias("b")), share)
 
 
 def trigram_similarity(a: str | Column, b: str | Column) -> Column:
@@ -91,26 +99,31 @@ def ratio_bound(a: str | Column, b: str | Column) -> Column:
     return F.when(la + lb > 0, 2.0 * F.least(la, lb) / (la + lb)).otherwise(1.0)
 
 
-def _edge_cases(a: Column, b: Column, otherwise: Column) -> Column:
-    return (
-        F.when((a == "") & (b == ""), 1.0)
-        .when((a == "") | (b == ""), 0.0)
-        .when(a == b, 1.0)
-        .otherwise(otherwise)
-    )
+def _mixed(a: str | None, b: str | None) -> float | None:
+    if a is None or b is None:
+        return None
+    if a == b:
+        return 1.0
+    if not a or not b:
+        return 0.0
+    x, y = set(a.split()), set(b.split())
+    return max(len(x & y) / len(x | y), _ratio(a, b))
+
+
+@F.pandas_udf(DoubleType())
+def mixed_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The larger of token overlap and character ratio of normalised texts."""
+    return pd.Series([_mixed(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
 def similarity_normalized(a: str | Column, b: str | Column, use_characters: bool = True) -> Column:
-    """Mix of both measures on texts that are normalised already.
-
-    The Python ratio sees null for pairs the plain rules decide, so it does no work there.
-    """
+    """Mix of both measures on texts that are normalised already; null if one is null."""
     a, b = col(a), col(b)
-    score = token_jaccard(a, b)
     if use_characters:
-        needs = (a != b) & (a != "") & (b != "") & (ratio_bound(a, b) > score)
-        score = F.greatest(score, seq_ratio(F.when(needs, a), F.when(needs, b)))
-    return _edge_cases(a, b, score)
+        return mixed_similarity(a, b)
+    return bind(F.struct(a.alias("x"), b.alias("y")), lambda p: (
+        F.when(p["x"] == p["y"], 1.0).when((p["x"] == "") | (p["y"] == ""), 0.0)
+        .when(p["x"].isNotNull() & p["y"].isNotNull(), token_jaccard(p["x"], p["y"]))))
 
 
 def similarity(a: str | Column, b: str | Column, use_characters: bool = True) -> Column:
@@ -140,27 +153,36 @@ def field_similarity(a: str | Column, b: str | Column, use_characters: bool = Tr
     return F.when(ua & ub, 1.0).when(ua | ub, 0.5).otherwise(similarity(a, b, use_characters))
 
 
-def duplicate_scores(incoming: dict[str, Column], candidate: dict[str, Column], threshold: float = 0.9,
-                     use_characters: bool = True) -> Column:
-    """struct(is_dup, company, title, salary, level); scores behind a failed gate are 0.0.
+def duplicate_scores(pairs: DataFrame, threshold: float = 0.9, use_characters: bool = True,
+                     suffix: str = "_2") -> DataFrame:
+    """Add is_dup and the company, title, salary and level scores of pairs of postings.
 
-    The gates are applied to the inputs, so later ratios run only on pairs that passed.
+    The incoming posting is in columns company_name, job_title, salary and level, the
+    candidate in the same names with ``suffix``.  Scores behind a failed gate are 0.0: the
+    gate blanks the inputs, so later ratios run only on pairs that passed.  Every step is
+    its own projection, so no expression is repeated inside the next one.
     """
-    def gated(name, gate):
-        return F.when(gate, incoming[name]), F.when(gate, candidate[name])
-
-    company = similarity(incoming["company_name"], candidate["company_name"], use_characters)
-    pass1 = company >= threshold
-    t_in, t_cand = gated("job_title", pass1)
-    title = F.when(pass1, similarity(t_in, t_cand, use_characters)).otherwise(0.0)
-    pass2 = pass1 & (title >= threshold)
-    parts = {}
-    for name in ("salary", "level"):
-        f_in, f_cand = gated(name, pass2)
-        parts[name] = F.when(pass2, field_similarity(f_in, f_cand, use_characters)).otherwise(0.0)
-    is_dup = pass2 & ((parts["salary"] >= threshold) | (parts["level"] >= threshold))
-    return F.struct(is_dup.alias("is_dup"), company.alias("company"), title.alias("title"),
-                    parts["salary"].alias("salary"), parts["level"].alias("level"))
+    def normalized(c):
+        return {f"_{c}": normalize_text(c), f"_{c}{suffix}": normalize_text(c + suffix)}
+
+    def score(c):
+        return similarity_normalized(f"_{c}", f"_{c}{suffix}", use_characters)
+
+    out = pairs.withColumns({k: v for c in ("company_name", "job_title", "salary", "level")
+                             for k, v in normalized(c).items()})
+    out = out.withColumn("company_score", score("company_name"))
+    gate = F.col("company_score") >= threshold
+    out = out.withColumns({c: F.when(gate, F.col(c)) for c in ("_job_title", f"_job_title{suffix}")})
+    out = out.withColumn("title_score", F.coalesce(score("job_title"), F.lit(0.0)))
+    gate = gate & (F.col("title_score") >= threshold)
+    for c in ("salary", "level"):
+        out = out.withColumns({x: F.when(gate, F.col(x)) for x in (f"_{c}", f"_{c}{suffix}")})
+        ua, ub = is_unstated(c), is_unstated(c + suffix)
+        value = F.when(ua & ub, 1.0).when(ua | ub, 0.5).otherwise(score(c))
+        out = out.withColumn(f"{c}_score", F.when(gate, value).otherwise(0.0))
+    is_dup = gate & ((F.col("salary_score") >= threshold) | (F.col("level_score") >= threshold))
+    keep = [c for c in out.columns if not c.startswith("_")]
+    return out.withColumn("is_dup", is_dup).select(*keep, "is_dup")
 
 
 __all__ = ["WORD", "trigrams", "trigram_similarity", "trigram_similarity_to", "token_jaccard",
