@@ -119,16 +119,46 @@ def salary_text(pretty, low, high, currency) -> Column:
     return F.when(F.trim(text).isin(R.SALARY_PLACEHOLDERS), built).otherwise(text)
 
 
+_SPLIT = 134217729.0  # 2**27 + 1 cuts a double into two halves of 26 bits
+
+
+def _halves(x: float) -> tuple[float, float]:
+    high = _SPLIT * x - (_SPLIT * x - x)
+    return high, x - high
+
+
+def _fixed(c: Column, digits: int) -> Column:
+    """``c`` with ``digits`` decimals, trailing zeros cut.
+
+    Rounds the exact binary value, as C does: where the scaled value seems to lie half-way,
+    the product's rounding error tells on which side it really is.
+    """
+    scale = float(10 ** digits)
+    sh, sl = _halves(scale)
+    product = c * scale
+    ch = c * _SPLIT - (c * _SPLIT - c)
+    cl = c - ch
+    error = (ch * sh - product) + ch * sl + cl * sh + cl * sl
+    whole = F.floor(product)
+    part = product - whole
+    up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
+    n = (whole + F.when(up, 1).otherwise(0)).cast("bigint")
+    if digits == 0:
+        return n.cast("string")
+    base = F.lit(10 ** digits)
+    text = F.concat(F.floor(n / base).cast("string"), F.lit("."),
+                    F.lpad((n % base).cast("string"), digits, "0"))
+    return F.regexp_replace(text, r"\.?0+$", "")
+
+
 def six_digits(c: Column) -> Column:
-    """A number written with at most six significant digits, as C's ``%g`` does."""
+    """A non-negative number with at most six significant digits, as C's ``%g`` writes it."""
     sci = F.format_string("%.5e", c)
     exponent = F.regexp_extract(sci, r"e([+-]\d+)$", 1).try_cast("int")
     fixed = None
     for digits in range(9, -1, -1):  # six significant digits need 5 - exponent decimals
-        text = F.regexp_replace(F.format_string(f"%.{digits}f", c), r"(\.\d*?)0+$", "$1")
-        text = F.regexp_replace(text, r"\.$", "")
         hit = exponent == 5 - digits
-        fixed = F.when(hit, text) if fixed is None else fixed.when(hit, text)
+        fixed = F.when(hit, _fixed(c, digits)) if fixed is None else fixed.when(hit, _fixed(c, digits))
     return F.when(c == 0, "0").otherwise(F.coalesce(fixed, F.regexp_replace(sci, r"\.?0*e", "e")))
 
 
