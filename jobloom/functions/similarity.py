@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from jobloom.functions.text import WORD, col, is_unstated, normalize_text
+from jobloom.functions.text import WORD, bind, col, is_unstated, normalize_text
 
 
 # ---- trigrams ---------------------------------------------------------------------------
@@ -24,11 +23,6 @@ def trigrams(c: str | Column) -> Column:
     return F.array_distinct(F.flatten(per_word))
 
 
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` computed once, however often the body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def set_overlap(a: Column, b: Column) -> Column:
     """Shared over all elements of two arrays of distinct values; 0 when both are empty."""
     def share(p: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +18,11 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def blank_to_null(c: str | Column) -> Column:
     return F.nullif(col(c), F.lit(""))
 
@@ -127,39 +132,55 @@ def _halves(x: float) -> tuple[float, float]:
     return high, x - high
 
 
-def _fixed(c: Column, digits: int) -> Column:
-    """``c`` with ``digits`` decimals, trailing zeros cut.
+def _pick(values: Sequence[float], at: Column) -> Column:
+    return F.get(F.array(*[F.lit(v) for v in values]), at)
+
+
+_SCALES = [float(10 ** d) for d in range(10)]
+
+
+def _fixed(v: Column) -> Column:
+    """``v.x`` with ``v.digits`` decimals, trailing zeros cut.
 
     Rounds the exact binary value, as C does: where the scaled value seems to lie half-way,
     the product's rounding error tells on which side it really is.
     """
-    scale = float(10 ** digits)
-    sh, sl = _halves(scale)
-    product = c * scale
-    ch = c * _SPLIT - (c * _SPLIT - c)
-    cl = c - ch
-    error = (ch * sh - product) + ch * sl + cl * sh + cl * sl
-    whole = F.floor(product)
-    part = product - whole
-    up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
-    n = (whole + F.when(up, 1).otherwise(0)).cast("bigint")
-    if digits == 0:
-        return n.cast("string")
-    base = F.lit(10 ** digits)
-    text = F.concat(F.floor(n / base).cast("string"), F.lit("."),
-                    F.lpad((n % base).cast("string"), digits, "0"))
-    return F.regexp_replace(text, r"\.?0+$", "")
+    def whole_number(w: Column) -> Column:
+        x, high, low = w["x"], w["high"], w["low"]
+        product = x * w["scale"]
+        xh = x * _SPLIT - (x * _SPLIT - x)
+        xl = x - xh
+        error = (xh * high - product) + xh * low + xl * high + xl * low
+        whole = F.floor(product)
+        part = product - whole
+        up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
+        return F.struct((whole + F.when(up, 1).otherwise(0)).cast("bigint").alias("n"),
+                        w["scale"].cast("bigint").alias("base"), w["digits"].alias("digits"))
+
+    def text(t: Column) -> Column:
+        decimals = F.lpad((t["n"] % t["base"]).cast("string"), t["digits"], F.lit("0"))
+        joined = F.concat(F.floor(t["n"] / t["base"]).cast("string"), F.lit("."), decimals)
+        return F.when(t["digits"] == 0, t["n"].cast("string")).otherwise(F.regexp_replace(joined, r"\.?0+$", ""))
+
+    halves = [_halves(x) for x in _SCALES]
+    parts = F.struct(
+        v["x"].alias("x"), v["digits"].alias("digits"), _pick(_SCALES, v["digits"]).alias("scale"),
+        _pick([h for h, _ in halves], v["digits"]).alias("high"), _pick([lo for _, lo in halves], v["digits"]).alias("low"))
+    return bind(parts, lambda w: bind(whole_number(w), text))
 
 
 def six_digits(c: Column) -> Column:
     """A non-negative number with at most six significant digits, as C's ``%g`` writes it."""
-    sci = F.format_string("%.5e", c)
-    exponent = F.regexp_extract(sci, r"e([+-]\d+)$", 1).try_cast("int")
-    fixed = None
-    for digits in range(9, -1, -1):  # six significant digits need 5 - exponent decimals
-        hit = exponent == 5 - digits
-        fixed = F.when(hit, _fixed(c, digits)) if fixed is None else fixed.when(hit, _fixed(c, digits))
-    return F.when(c == 0, "0").otherwise(F.coalesce(fixed, F.regexp_replace(sci, r"\.?0*e", "e")))
+    def notation(v: Column) -> Column:
+        plain = F.when(v["digits"].between(0, 9), _fixed(v))
+        return F.when(v["x"] == 0, "0").otherwise(F.coalesce(plain, F.regexp_replace(v["sci"], r"\.?0*e", "e")))
+
+    def with_digits(v: Column) -> Column:
+        exponent = F.regexp_extract(v["sci"], r"e([+-]\d+)$", 1).try_cast("int")
+        # six significant digits need 5 - exponent decimals
+        return bind(F.struct(v["x"].alias("x"), v["sci"].alias("sci"), (5 - exponent).alias("digits")), notation)
+
+    return bind(F.struct(c.alias("x"), F.format_string("%.5e", c).alias("sci")), with_digits)
 
 
 def salary_text_millions(low, high) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobloom import rules as R
@@ -142,10 +142,14 @@ def publish(df: DataFrame, path: str) -> None:
     df.withColumn("updated_at", F.current_timestamp()).write.mode("overwrite").parquet(path)
 
 
-def as_document(df: DataFrame, name: str) -> DataFrame:
-    """A bounded summary as one row (name, JSON array of its rows in a fixed order)."""
-    row = F.struct(*df.columns)
-    return df.agg(F.to_json(F.array_sort(F.collect_list(row))).alias("data")).select(F.lit(name).alias("name"), "data")
+def as_document(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """A bounded summary as one row (name, JSON array of its rows), ordered ascending by
+    the given columns and then by the rows' text."""
+    row = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+    keys = [o.alias(f"k{i}") for i, o in enumerate(order)]
+    listed = F.array_sort(F.collect_list(F.struct(*keys, row.alias("row"))))
+    data = F.concat(F.lit("["), F.array_join(F.transform(listed, lambda x: x["row"]), ","), F.lit("]"))
+    return df.agg(data.alias("data")).select(F.lit(name).alias("name"), "data")
 
 
 __all__ = ["write_bronze", "write_csv", "read_csv", "export_frame", "export_csv", "last_per_key", "upsert_merge",
