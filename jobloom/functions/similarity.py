@@ -42,11 +42,30 @@ def trigram_list(text: str) -> list[str]:
     return list(dict.fromkeys(f"  {w} "[i:i + 3] for w in words for i in range(len(w) + 1)))
 
 
+def padded_words(c: str | Column) -> Column:
+    """The words of a text with blanks around them.  Of the trigrams of this text, those of
+    the words are exactly the ones that do not end in two blanks."""
+    words = F.trim(F.regexp_replace(F.lower(F.coalesce(col(c), F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+    return F.when(words == "", "").otherwise(F.concat(F.lit("  "), F.replace(words, F.lit(" "), F.lit("   ")), F.lit(" ")))
+
+
 def trigram_similarity_to(c: str | Column, text: str) -> Column:
+    """Trigram similarity to one search text.
+
+    Its trigrams are looked up in the padded words by plain substring tests; the column's
+    own trigrams are counted only in rows that share at least one.
+    """
     grams = trigram_list(text)
     if not grams:
         return F.lit(0.0)
-    return set_overlap(trigrams(c), F.array(*[F.lit(g) for g in grams]))
+    def shared(padded: Column) -> Column:
+        hits = [F.contains(padded, F.lit(g)).cast("int") for g in grams]
+        return sum(hits[1:], hits[0])
+
+    def share(n: Column) -> Column:
+        return F.when(n > 0, n / (F.size(trigrams(c)) + len(grams) - n)).otherwise(0.0)
+
+    return bind(bind(padded_words(c), shared), share)
 
 
 # ---- tokens and characters --------------------------------------------------------------
@@ -83,10 +102,14 @@ def _ratio_at_least(a: str | None, b: str | None, threshold: float) -> float:
 
 
 @F.pandas_udf(DoubleType())
-def seq_ratio_at_least(a: pd.Series, b: pd.Series, threshold: pd.Series) -> pd.Series:
+def _seq_ratio_at_least(a: pd.Series, b: pd.Series, threshold: pd.Series) -> pd.Series:
     return pd.Series([_ratio_at_least(x, y, t) for x, y, t in zip(a, b, threshold)], dtype="float64")
 
 
+# Declared non-deterministic so that the planner neither repeats it nor moves it into a join.
+seq_ratio_at_least = _seq_ratio_at_least.asNondeterministic()
+
+
 def ratio_bound(a: str | Column, b: str | Column) -> Column:
     """No character ratio of two texts exceeds 2 * shorter / (sum of lengths)."""
     la, lb = F.length(col(a)), F.length(col(b))
@@ -125,13 +148,14 @@ def similarity(a: str | Column, b: str | Column, use_characters: bool = True) ->
 
 
 def reaches(a: str | Column, b: str | Column, threshold: float, use_characters: bool = True) -> Column:
-    """similarity_normalized(a, b) >= threshold, with the ratio computed only where it decides."""
+    """similarity_normalized(a, b) >= threshold, with the ratio computed only where it can
+    reach the threshold (lambdas stay out of its inputs: the planner cannot extract those)."""
     a, b = col(a), col(b)
     overlap = token_jaccard(a, b) >= threshold
     plain = _edge_cases_bool(a, b, threshold, overlap)
     if not use_characters:
         return plain
-    needs = (a != b) & (a != "") & (b != "") & ~overlap & (ratio_bound(a, b) >= threshold)
+    needs = (a != b) & (a != "") & (b != "") & (ratio_bound(a, b) >= threshold)
     ratio = seq_ratio_at_least(F.when(needs, a), F.when(needs, b), F.lit(threshold))
     return plain | (ratio >= threshold)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
@@ -101,6 +102,24 @@ def infer_sector(company, titles, requirements, rule_list=R.SECTOR_RULES) -> Col
     return first_rule(text, rule_list)
 
 
+_PLAIN = re.compile(r"^[^\\.^$*+?()\[\]{}|]+$")
+
+
+def matches_ignoring_case(lowered: Column, pattern: str) -> Column:
+    """Whether a pattern occurs in a text that is lower case already.
+
+    Alternatives without special characters become plain substring tests, which are much
+    cheaper than the regular expression.
+    """
+    if re.search(r"\\[A-Z]", pattern):  # \S, \W, \D, \P must keep their case
+        return lowered.rlike(f"(?iu){pattern}")
+    parts = pattern.lower().split("|") if not re.search(r"[()\[\]\\]", pattern) else [pattern.lower()]
+    plain = [p for p in parts if _PLAIN.match(p)]
+    other = [p for p in parts if not _PLAIN.match(p)]
+    out = contains_any(lowered, plain)
+    return out | lowered.rlike("|".join(other)) if other else out
+
+
 # ---- salary and dates -------------------------------------------------------------------
 
 def _thousands(c: Column) -> Column:

@@ -99,6 +99,11 @@ def _nodes(rows: DataFrame) -> DataFrame:
 
 # ---- 2. matching profiles ---------------------------------------------------------------
 
+def _where(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter by a condition with a Python ratio in it, evaluated as a column of its own."""
+    return df.withColumn("_hit", condition).filter("_hit").drop("_hit")
+
+
 def _similar_companies(companies: DataFrame, rule: MatchRule) -> DataFrame:
     """Directed pairs (c, near) of different but similar company names in one block."""
     names = companies.select("c", "block").distinct()
@@ -113,7 +118,7 @@ def _similar_companies(companies: DataFrame, rule: MatchRule) -> DataFrame:
     both = pairs.select(F.inline(F.array(
         F.struct(F.col("x").alias("c"), F.col("y").alias("near")),
         F.struct(F.col("y").alias("c"), F.col("x").alias("near")))))
-    return both.filter(reaches("c", "near", rule.threshold, rule.use_characters))
+    return _where(both, reaches("c", "near", rule.threshold, rule.use_characters))
 
 
 def _entries(profiles: DataFrame, rule: MatchRule) -> DataFrame:
@@ -155,9 +160,9 @@ def _matching(pairs: DataFrame, profiles: DataFrame, rule: MatchRule) -> DataFra
         .join(texts.select(F.col("profile").alias("candidate"), F.col("t").alias("t2"), F.col("s").alias("s2"),
                            F.col("l").alias("l2")), "candidate"))
     col = F.col
-    titled = joined.filter(reaches("t", "t2", rule.threshold, rule.use_characters))
-    return titled.filter(_field_reaches(col("s"), col("s2"), rule) | _field_reaches(col("l"), col("l2"), rule)).select(
-        "profile", "candidate")
+    titled = _where(joined, reaches("t", "t2", rule.threshold, rule.use_characters))
+    either = _field_reaches(col("s"), col("s2"), rule) | _field_reaches(col("l"), col("l2"), rule)
+    return _where(titled, either).select("profile", "candidate")
 
 
 def _profiles(nodes: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from jobloom import rules as R
 from jobloom.functions.text import (
-    decode_tags, display_default, infer_sector, normalize_province, parse_salary)
+    decode_tags, display_default, infer_sector, matches_ignoring_case, normalize_province, parse_salary)
 from jobloom.schema import SUMMARY_COLUMNS
 
 
@@ -269,18 +269,19 @@ SKILL_COLUMNS = ("job_title", "job_requirements", "job_description", "keyword")
 def skill_trends(df: DataFrame, groups=R.TECH_GROUPS, columns: Sequence[str] = SKILL_COLUMNS,
                  half_even: bool = True) -> DataFrame:
     """Postings that mention each technology group, all groups counted in one pass."""
-    present = [F.col(c) for c in columns if c in df.columns]
+    present = [c for c in columns if c in df.columns]
+    lowered = df.select(*[F.lower(F.coalesce(c, F.lit(""))).alias(c) for c in present])
     aggregates = [F.count(F.lit(1)).alias("_total")]
     for i, (_, _, pattern, *_rest) in enumerate(groups):
         hit = F.lit(False)
         for c in present:
-            hit = hit | F.coalesce(c.rlike(f"(?iu){pattern}"), F.lit(False))
+            hit = hit | matches_ignoring_case(F.col(c), pattern)
         aggregates.append(F.count_if(hit).alias(f"_{i}"))
     cells = [
         F.struct(F.lit(name).alias("name"), F.lit(category).alias("category"), F.col(f"_{i}").alias("postings"),
                  F.lit(note).alias("avg_salary_estimate"), F.lit(badge).alias("badge"), F.col("_total").alias("_total"))
         for i, (name, category, _, note, badge) in enumerate(groups)]
-    rows = df.agg(*aggregates).select(F.inline(F.array(*cells)))
+    rows = lowered.agg(*aggregates).select(F.inline(F.array(*cells)))
     share = F.col("postings") / F.greatest(F.col("_total"), F.lit(1)) * 100
     rounded = F.bround(share, 0) if half_even else F.floor(share + 0.5)
     return rows.withColumn("share_percent", F.least(F.lit(100), rounded.cast("bigint"))).drop("_total")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from jobloom import rules as R
 from jobloom.operators import rollups as A
 from jobloom.schema import SUMMARY_COLUMNS
-from jobloom.sources.writers import as_document, publish
+from jobloom.sources.writers import as_document, as_value, publish
 
 
 def _one_document(sections: Sequence[DataFrame], name: str) -> DataFrame:
@@ -47,18 +47,20 @@ def overview_document(raw: DataFrame, master: DataFrame, sources: Sequence[str]
     parts = overview_sections(raw, master, sources)
     order = {"topLocations": [_most()], "provinces": [_most()], "topHiringCompanies": [_most()],
              "filtersAvailable": [F.col("facet"), _most()], "latestJobs": [-F.unix_micros("created_at")]}
-    return _one_document([as_document(df, name, *order.get(name, [])) for name, df in parts.items()], "overview")
+    return _one_document([
+        as_value(df, name) if len(df.columns) == 1 else as_document(df, name, *order.get(name, []))
+        for name, df in parts.items()], "overview")
 
 
 def skill_document(master: DataFrame) -> DataFrame:
-    return _one_document([as_document(A.total_count(master), "totalJobs"),
+    return _one_document([as_value(A.total_count(master), "totalJobs"),
                           as_document(A.skill_trends(master), "trends", _most())], "skill_trends")
 
 
 def salary_document(master: DataFrame) -> DataFrame:
     spark = master.sparkSession
     return _one_document([
-        as_document(A.total_count(master), "totalJobs"),
+        as_value(A.total_count(master), "totalJobs"),
         as_document(A.benchmark_join(A.level_counts(master), A.level_benchmarks(spark), "level"), "levels"),
         as_document(A.benchmark_join(A.city_counts(master), A.city_benchmarks(spark), "city"), "cities"),
         as_document(A.companies_pay(master), "topCompanies", _most())], "salary_benchmarks")
@@ -68,7 +70,7 @@ def company_document(profiles: DataFrame, master: DataFrame) -> DataFrame:
     """Totals and sectors; the companies themselves are a published table, as their number
     has no bound."""
     return _one_document([
-        as_document(profiles.agg(F.count(F.lit(1)).alias("totalCompanies")), "totalCompanies"),
+        as_value(profiles.agg(F.count(F.lit(1)).alias("totalCompanies")), "totalCompanies"),
         as_document(A.sector_rollup(profiles, master), "sectors", _most())], "company_stats")
 
 

@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 
 from jobloom.functions.text import encode_tags, sanitize_name
 from jobloom.schema import EXTRA_INFO, POSTING
+from jobloom.sources.readers import spread
+
+
+TEXT_TABLES = ("documents", "pages", "conversations")  # their rows cost most to process
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,6 +27,16 @@ def read_source(spark: SparkSession, path: str, schema: T.StructType = POSTING)
         return spark.createDataFrame([], schema)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when they come from fewer files than there are cores.
+
+    A single file of one row group is read by one task, and so would be all the text work
+    behind it.  Tables of many files are left as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def read_jdbc_source(spark: SparkSession, url: str, table: str, key: str, bounds: Sequence[str],
                      properties: dict[str, str] | None = None) -> DataFrame:
     """A raw database table read in parallel, one task per key range."""

@@ -152,7 +152,14 @@ def as_document(df: DataFrame, name: str, *order: Column) -> DataFrame:
     return df.agg(data.alias("data")).select(F.lit(name).alias("name"), "data")
 
 
-__all__ = ["write_bronze", "write_csv", "read_csv", "export_frame", "export_csv", "last_per_key", "upsert_merge",
+def as_value(df: DataFrame, name: str) -> DataFrame:
+    """A summary of one row and one column as (name, JSON value)."""
+    value = F.regexp_extract(F.to_json(F.struct(F.col(df.columns[0]).alias("v")), {"ignoreNullFields": "false"}),
+                             r'^\{"v":(.*)\}$', 1)
+    return df.select(F.lit(name).alias("name"), value.alias("data"))
+
+
+__all__ = ["as_value", "write_bronze", "write_csv", "read_csv", "export_frame", "export_csv", "last_per_key", "upsert_merge",
            "Snapshot", "publish", "as_document", "published", "TEXT_COLUMNS"]
 
 
