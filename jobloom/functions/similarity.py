@@ -17,9 +17,9 @@ from jobloom.functions.text import WORD, bind, col, is_unstated, normalize_text
 def trigrams(c: str | Column) -> Column:
     """Distinct trigrams of every word, each padded with two blanks before and one after."""
     words = F.filter(F.split(F.lower(F.coalesce(col(c), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    per_word = F.transform(words, lambda w: F.transform(
-        F.sequence(F.lit(1), F.length(w) + 1),
-        lambda i: F.substr(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3))))
+    padded = F.transform(F.array_distinct(words), lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
+    per_word = F.transform(padded, lambda p: F.transform(
+        F.sequence(F.lit(1), F.length(p) - 2), lambda i: F.substr(p, i, F.lit(3))))
     return F.array_distinct(F.flatten(per_word))
 
 

@@ -255,6 +255,15 @@ def _neighbourhood(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         "p_kept", "p_open", "u_kept", "u_open")
 
 
+def _step(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes after deciding every open one that the present states decide."""
+    seen = _neighbourhood(nodes, edges)
+    copy = F.coalesce(F.col("first_kept") < F.col("node"), F.lit(False))
+    alone = F.col("first_open") >= F.col("node")
+    state = (F.when(F.col("state") != "open", F.col("state")).when(copy, "copy").when(alone, "kept").otherwise("open"))
+    return seen.select("node", "profile", "block", "shared", state.alias("state"))
+
+
 def _decide(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Decide every node; nodes without any match are kept without joining the rounds."""
     busy = (edges.select("profile").unionByName(edges.select(F.col("candidate").alias("profile")))
@@ -263,12 +272,7 @@ def _decide(nodes: DataFrame, edges: DataFrame) -> DataFrame:
                         F.when(F.col("existing"), "kept").otherwise("open").alias("state"))
     active = saved(slim.join(busy, "profile", "left_semi"))
     while not active.filter(F.col("state") == "open").isEmpty():
-        seen = _neighbourhood(active, edges)
-        copy = F.col("first_kept") < F.col("node")
-        alone = F.col("first_open") >= F.col("node")
-        state = (F.when(F.col("state") != "open", F.col("state")).when(F.coalesce(copy, F.lit(False)), "copy")
-                 .when(alone, "kept").otherwise("open"))
-        active = saved(seen.select("node", "profile", "block", "shared", state.alias("state")))
+        active = saved(_step(active, edges))
     linked = _neighbourhood(active, edges).select("node", "state", F.col("first_kept").alias("link"))
     return nodes.join(linked, "node", "left").withColumns({
         "state": F.coalesce("state", F.lit("kept")), "link": F.coalesce("link", "node")})
