@@ -28,7 +28,7 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     first_line = t("lineitem").groupBy("l_orderkey").agg(
         F.min("l_partkey").alias("p_partkey"), F.min("l_suppkey").alias("s_suppkey"))
     joined = (
-        t("orders")
+        spread(t("orders"))
         .join(first_line, F.col("o_orderkey") == F.col("l_orderkey"), "left")
         .join(t("customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
         .join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
