@@ -126,7 +126,7 @@ def _(spark, sf):
 
 @query("title_fallback", r"""SELECT page_id, CASE page_id % 4
   WHEN 0 THEN regexp_extract(html, '(?is)<h1[^>]*>([^<]*)</h1>', 1)
-  WHEN 1 THEN trim(regexp_extract(html, '(?is)<title>([^<]*)</title>', 1))
+  WHEN 1 THEN trim(regexp_extract('Recruiting ' || regexp_extract(html, '(?is)<title>([^<]*)</title>', 1) || ' at Acme | x', '(?i)Recruiting\s+(.+?)\s+at\s+', 1))
   WHEN 2 THEN trim(replace(url, 'Tuyển dụng', '')) ELSE 'card ' || page_id END AS title FROM pages""")
 def _(spark, sf):
     inner = F.regexp_extract("html", r"(?is)<title>([^<]*)</title>", 1)
