@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from jobloom.llm.common import table
 from jobloom.llm.exact import exact_dedup
 from jobloom.llm.licenses import scan_licenses
 from jobloom.llm.mixing import plan_mix
+from jobloom.llm.near import near_classes
+from jobloom.llm.pages import extract_main_text
 from jobloom.llm.tokens import token_counts
+from jobloom.llm.toxicity import held_out, score_toxicity, train
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +26,22 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_classes(docs, n=4).select(F.col("_key").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, table(spark, sf_dir, "labels"))
+    return score_toxicity(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract_main_text(pages).select("page_id", "url", "text", "n_chars")
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return scan_licenses(docs).select(
@@ -54,6 +74,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_token_counts, op6_license_scan, op7_exact_dedup, op10_source_mix)
+    f.__name__: f for f in (op1_token_counts, op2_near_dedup, op4_toxicity, op5_main_text, op6_license_scan, op7_exact_dedup,
+                              op10_source_mix)
 }
 SQL: dict[str, str] = {"op7_exact_dedup": OP7_SQL}
