@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobloom.llm.common import table
+from jobloom.llm.decontaminate import find_contamination
 from jobloom.llm.exact import exact_dedup
 from jobloom.llm.licenses import scan_licenses
 from jobloom.llm.mixing import plan_mix
@@ -31,6 +32,12 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(docs, n=4).select(F.col("_key").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    hits = find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    return hits.withColumnsRenamed({"_key": "doc_id", "_item": "item_id"})
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels"))
@@ -74,7 +81,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_token_counts, op2_near_dedup, op4_toxicity, op5_main_text, op6_license_scan, op7_exact_dedup,
+    f.__name__: f for f in (op1_token_counts, op2_near_dedup, op3_decontamination, op4_toxicity, op5_main_text, op6_license_scan, op7_exact_dedup,
                               op10_source_mix)
 }
 SQL: dict[str, str] = {"op7_exact_dedup": OP7_SQL}
