@@ -12,6 +12,7 @@ from jobloom.llm.common import table
 from jobloom.llm.decontaminate import find_contamination
 from jobloom.llm.exact import exact_dedup
 from jobloom.llm.licenses import scan_licenses
+from jobloom.llm.lm import fit, score_documents
 from jobloom.llm.mixing import plan_mix
 from jobloom.llm.near import near_classes
 from jobloom.llm.pages import extract_main_text
@@ -75,6 +76,12 @@ FROM prints p JOIN groups g USING (text_sha256) JOIN winners w USING (text_sha25
 """
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    models = fit(docs, table(spark, sf_dir, "labels"))
+    return score_documents(docs, models).select("doc_id", "n_tokens", "target_loss", "background_loss", "score")
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return plan_mix(docs).select("doc_id", "size", "source_size", "target", "taken", "shards")
@@ -82,6 +89,6 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (op1_token_counts, op2_near_dedup, op3_decontamination, op4_toxicity, op5_main_text, op6_license_scan, op7_exact_dedup,
-                              op10_source_mix)
+                              op8_lm_scores, op10_source_mix)
 }
 SQL: dict[str, str] = {"op7_exact_dedup": OP7_SQL}
