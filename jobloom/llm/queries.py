@@ -16,6 +16,7 @@ from jobloom.llm.lm import fit, score_documents
 from jobloom.llm.mixing import plan_mix
 from jobloom.llm.near import near_classes
 from jobloom.llm.pages import extract_main_text
+from jobloom.llm.passages import remove_repeats
 from jobloom.llm.tokens import token_counts
 from jobloom.llm.toxicity import held_out, score_toxicity, train
 
@@ -82,6 +83,11 @@ def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(docs, models).select("doc_id", "n_tokens", "target_loss", "background_loss", "score")
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeats(docs, texts=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return plan_mix(docs).select("doc_id", "size", "source_size", "target", "taken", "shards")
@@ -89,6 +95,6 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (op1_token_counts, op2_near_dedup, op3_decontamination, op4_toxicity, op5_main_text, op6_license_scan, op7_exact_dedup,
-                              op8_lm_scores, op10_source_mix)
+                              op8_lm_scores, op9_repeated_passages, op10_source_mix)
 }
 SQL: dict[str, str] = {"op7_exact_dedup": OP7_SQL}
