@@ -11,7 +11,7 @@
    and gap -1).  A document and an item are reported when the alignment reaches ``LEAST`` of the item's
    own score, which exact, edited and partly reordered copies do.
 
-Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased, so punctuation and line
+Words are runs of letters, digits and non-ASCII characters in lower case, so punctuation and line
 breaks do not matter.
 
 Defined cases: null counts as empty; items of fewer than ``ITEM_WORDS`` words are too short to tell and
@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import chunks, gram_hashes, text_of, word_hashes
+from jobloom.llm.common import chunks, free_name, gram_hashes, text_of, word_hashes
 from jobloom.session import saved
 
 GRAM = 3
@@ -146,8 +146,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", ke
 
     ``score`` is the alignment's share of the item's own; the words are those of the document's passage.
     """
-    docs = docs.select(F.col(key).cast("long").alias("_key"), text_of(text).alias("_text"))
-    items = items.select(F.col(item_key).cast("long").alias("_item"), text_of(item_text).alias("_text"))
+    docs = docs.select(F.col(key).cast("long").alias("_key"), F.lower(text_of(text)).alias("_text"))
+    items = items.select(F.col(item_key).cast("long").alias("_item"), F.lower(text_of(item_text)).alias("_text"))
     sizes = items.agg(F.coalesce(F.sum(F.length("_text")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-sizes // BLOCK_CHARS))
     result = None
@@ -228,6 +228,7 @@ def _lookup(table: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 def decontaminate(df: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", **named: object) -> DataFrame:
     """The rows of ``df`` that match no item.  Rows without an id cannot be named and are judged together."""
-    hits = saved(find_contamination(df, items, text, key, **named).select("_key").distinct())
+    name = free_name(df, "_hit")
+    hits = saved(find_contamination(df, items, text, key, **named).select(F.col("_key").alias(name)).distinct())
     small = F.broadcast(hits) if hits.count() <= 1_000_000 else hits
-    return df.join(small, F.col(key).cast("long").eqNullSafe(F.col("_key")), "left_anti")
+    return df.join(small, F.col(key).cast("long").eqNullSafe(F.col(name)), "left_anti")

@@ -43,7 +43,8 @@ def exact_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", single:
     """The rows of ``df`` with ``keep_id`` (id of the row that stays), ``group_size``, ``kept`` and
     ``text_sha256``.  With ``single``, rows repeating the id of a kept row are dropped."""
     df = df.drop(*(c for c in df.columns if c.lower() in RESULTS))
-    sha, word, bits, size = (free_name(df, n) for n in ("_sha", "_word", "_bits", "_size"))
+    sha, word, bits, size, held, maybe, longest = (
+        free_name(df, n) for n in ("_sha", "_word", "_bits", "_size", "_held", "_maybe", "_longest"))
     rows = saved(df.select(F.unhex(fingerprint(text_of(text))).alias(sha), F.length(text_of(text)).alias(size),
                            F.col(key).alias("_key")))
     words = max(1, rows.count() * BITS_PER_ROW // 64)
@@ -51,24 +52,24 @@ def exact_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", single:
 
     # first pass: the filter holds the bit patterns that several rows have
     patterns = rows.groupBy(place(F.col(sha)).alias(word), _filter_bits(F.col(sha)).alias(bits)).count()
-    repeated = saved(patterns.where("count > 1").groupBy(word).agg(F.expr(f"bit_or({bits})").alias("_filter")))
+    repeated = saved(patterns.where("count > 1").groupBy(word).agg(F.expr(f"bit_or({bits})").alias(held)))
 
     # among the rows the filter lets through, the one that stays of each group
     marked = lambda d: d.join(repeated, word, "left").withColumn(
-        "_maybe", F.coalesce(F.col("_filter").bitwiseAND(F.col(bits)) == F.col(bits), F.lit(False)))
+        maybe, F.coalesce(F.col(held).bitwiseAND(F.col(bits)) == F.col(bits), F.lit(False)))
     tested = lambda d: marked(d.withColumn(word, place(F.col(sha))).withColumn(bits, _filter_bits(F.col(sha))))
-    sizes = tested(rows).where("_maybe").groupBy(sha, size).agg(F.min("_key").alias("_least"), F.count("*").alias("_n"))
+    sizes = tested(rows).where(maybe).groupBy(sha, size).agg(F.min("_key").alias("_least"), F.count("*").alias("_n"))
     groups = saved(sizes.groupBy(sha).agg(
-        F.max_by("_least", size).alias("keep_id"), F.max(size).alias("_longest"), F.sum("_n").alias("group_size")))
+        F.max_by("_least", size).alias("keep_id"), F.max(size).alias(longest), F.sum("_n").alias("group_size")))
 
     # second pass over the rows themselves
     wide = tested(df.withColumn(sha, F.unhex(fingerprint(text_of(text)))).withColumn(size, F.length(text_of(text))))
-    alone = wide.where(~F.col("_maybe")).select(
+    alone = wide.where(~F.col(maybe)).select(
         *df.columns, F.col(key).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"),
         F.lower(F.hex(sha)).alias("text_sha256"))
-    grouped = wide.where("_maybe").join(groups, sha).select(
+    grouped = wide.where(maybe).join(groups, sha).select(
         *df.columns, "keep_id", "group_size",
-        (F.col(key).eqNullSafe(F.col("keep_id")) & (F.col(size) == F.col("_longest"))).alias("kept"),
+        (F.col(key).eqNullSafe(F.col("keep_id")) & (F.col(size) == F.col(longest))).alias("kept"),
         F.lower(F.hex(sha)).alias("text_sha256"))
     if single:
         lone = grouped.where("NOT kept OR group_size = 1")

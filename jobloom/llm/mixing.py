@@ -120,7 +120,8 @@ def plan_mix(df: DataFrame, text: str = "text", key: str = "doc_id", source: str
     """The rows of ``df`` with ``size``, ``source_size``, ``target``, ``taken``, ``copies`` and
     ``shards`` (the output shard of each copy)."""
     df = df.drop(*(c for c in df.columns if c.lower() in RESULTS and c != source))
-    name, number = free_name(df, "_source"), free_name(df, "_block")
+    name, number, of_plan, of_block, of_goal = (
+        free_name(df, n) for n in ("_source", "_block", "_plan_source", "_plan_block", "_goal_source"))
     rows = df.withColumn(name, F.col(source).cast("string")).withColumn(number, _block(key, seed)) \
         .withColumn("size", words_in(text_of(text)))
     blocks = saved(rows.groupBy(F.col(name).alias("source"), F.col(number).alias("block")).agg(F.sum("size").alias("words")))
@@ -134,11 +135,11 @@ def plan_mix(df: DataFrame, text: str = "text", key: str = "doc_id", source: str
     dealt = saved(_deal(drawn, shards, seed))
 
     # at most BLOCKS short rows a source; where that is many, the planner joins by key
-    plan = dealt.select(F.col("source").alias("_p_source"), F.col("block").alias("_p_block"), "shards")
-    goals = targets.select(F.col("source").alias("_t_source"), "source_size", "target")
+    plan = dealt.select(F.col("source").alias(of_plan), F.col("block").alias(of_block), "shards")
+    goals = targets.select(F.col("source").alias(of_goal), "source_size", "target")
     small = lambda t: F.broadcast(t) if t.count() <= BROADCAST_ROWS else t
-    return rows.join(small(plan), F.col(name).eqNullSafe(F.col("_p_source")) & (F.col(number) == F.col("_p_block")), "left") \
-        .join(small(goals), F.col(name).eqNullSafe(F.col("_t_source")), "left") \
+    return rows.join(small(plan), F.col(name).eqNullSafe(F.col(of_plan)) & (F.col(number) == F.col(of_block)), "left") \
+        .join(small(goals), F.col(name).eqNullSafe(F.col(of_goal)), "left") \
         .withColumn("copies", F.size("shards").cast("long")) \
         .select(*df.columns, "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "shards")
 

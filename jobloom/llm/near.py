@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import chunks, gram_hashes, mix, text_of, word_hashes
+from jobloom.llm.common import chunks, free_name, gram_hashes, mix, text_of, word_hashes
 from jobloom.session import saved
 
 REGISTERS = 256
@@ -274,5 +274,7 @@ def near_classes(df: DataFrame, text: str = "text", key: str = "doc_id", n: int
 def near_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", n: int = SHINGLE,
                percent: int = PERCENT) -> DataFrame:
     """The rows of ``df`` that stay: one document of each component."""
-    dropped = saved(near_classes(df, text, key, n, percent).where("NOT kept AND _key IS NOT NULL").select("_key").distinct())
-    return df.join(_small(dropped), F.col(key) == F.col("_key"), "left_anti")
+    name = free_name(df, "_dropped")
+    dropped = saved(near_classes(df, text, key, n, percent).where("NOT kept AND _key IS NOT NULL")
+                    .select(F.col("_key").alias(name)).distinct())
+    return df.join(_small(dropped), F.col(key) == F.col(name), "left_anti")

@@ -277,9 +277,9 @@ def extract_main_text(pages: DataFrame, html: str = "html", url: str = "url") ->
     # Only low nodes matter to a page.  They are few per host, as a host's templates are.
     low = style_tree(pages, html, url).where(F.col("importance") < IMPORTANCE) \
         .groupBy("host").agg(F.collect_list(F.struct("path", "importance")).alias("_low"))
-    host, nodes = free_name(pages, "_host"), free_name(pages, "_nodes")
-    low = low.select(F.col("host").alias("_h"), F.to_json("_low").alias(nodes))
-    joined = pages.withColumn(host, host_of(F.col(url))).join(low, F.col(host) == F.col("_h"), "left")
+    host, nodes, low_host = (free_name(pages, n) for n in ("_host", "_nodes", "_low_host"))
+    low = low.select(F.col("host").alias(low_host), F.to_json("_low").alias(nodes))
+    joined = pages.withColumn(host, host_of(F.col(url))).join(low, F.col(host) == F.col(low_host), "left")
 
     @F.pandas_udf("string")
     def extract(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:

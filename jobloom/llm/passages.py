@@ -439,6 +439,7 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", texts
     ``kept_text`` (its bytes as UTF-8; a character cut in two shows as the replacement character)."""
     ident: Column = F.coalesce(F.col(key).cast("long"), F.lit(LAST_ID)).alias("id")
     docs = df.select(ident, F.xxhash64(text_of(text)).alias("print"), text_of(text).alias("text"))
+    id_, print_, lists, my_id, my_print, out = (free_name(df, n) for n in ("_id", "_print", "_lists", "_my_id", "_my_print", "_result"))
     ranges = max(32, df.select(key).count() // RANGE_ROWS)
     places = saved(docs.mapInPandas(_pick(ranges), "part int, known boolean, places binary"))
     spots = places.where("NOT known").groupBy("part").applyInPandas(_repeated, "id long, print long, spots binary") \
@@ -447,7 +448,7 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", texts
     runs = saved(docs.join(of_doc, ["id", "print"]).mapInPandas(_make_runs(ranges), _RUNS))
     merged = runs.where("part >= 0").select("part", "run").groupBy("part").applyInPandas(_merge_range, STRETCH)
     stretches = merged.unionByName(runs.where("part < 0").select("id", "print", "stretches")) \
-        .groupBy(F.col("id").alias("_i"), F.col("print").alias("_p")).agg(F.collect_list("stretches").alias("stretches"))
+        .groupBy(F.col("id").alias(id_), F.col("print").alias(print_)).agg(F.collect_list("stretches").alias(lists))
 
     fields = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if texts else "")
     names = [f.split()[0] for f in fields.split(", ")]
@@ -458,9 +459,8 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", texts
             rows = [_kept(t, s)[: len(names)] for t, s in zip(all_texts, all_lists)]
             yield pd.DataFrame(rows, columns=names)
 
-    out = free_name(df, "_result")
-    joined = df.withColumn("_id", ident).withColumn("_print", F.xxhash64(text_of(text))) \
-        .join(stretches, (F.col("_id") == F.col("_i")) & (F.col("_print") == F.col("_p")), "left")
+    joined = df.withColumn(my_id, ident).withColumn(my_print, F.xxhash64(text_of(text))) \
+        .join(stretches, (F.col(my_id) == F.col(id_)) & (F.col(my_print) == F.col(print_)), "left")
     keep = [F.col(c) for c in df.columns if c.lower() not in names]
-    return joined.withColumn(out, result(text_of(text), F.col("stretches"))) \
+    return joined.withColumn(out, result(text_of(text), F.col(lists))) \
         .select(*keep, *[F.col(f"{out}.{n}").alias(n) for n in names])
