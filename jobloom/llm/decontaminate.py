@@ -3,9 +3,9 @@
 1. The words of the test items are a query set.  It is taken in blocks of bounded size, so one block can be
    sent to every task whatever the benchmark grows to; each block is held against all documents.
 2. A first pass counts in how many documents each word n-gram of the items occurs.  Every run of
-   ``WINDOW`` n-grams of an item then keeps its rarest one as a seed.  So no part of an item is without a
-   seed, also where a test item has leaked into very many documents, and common phrases are seeds only
-   where an item has nothing rarer.
+   ``WINDOW`` n-grams of an item then keeps as seeds those about as rare as its rarest one (within a factor
+   of ``RARE``).  So no part of an item is without a seed, also where a test item has leaked into very many
+   documents, and common phrases are seeds only where an item has nothing rarer.
 3. A second pass finds the seeds in the documents.  Seeds of one item on nearby diagonals make a
    candidate passage, which is aligned with the item by Smith-Waterman over words (match +2, mismatch
    and gap -1).  A document and an item are reported when the alignment reaches ``LEAST`` of the item's
@@ -33,7 +33,8 @@ from jobloom.llm.common import chunks, free_name, gram_hashes, text_of, word_has
 from jobloom.session import saved
 
 GRAM = 3
-WINDOW = 3
+WINDOW = 4
+RARE = 8
 LEAST = 0.5
 ITEM_WORDS = 8
 BLOCK_CHARS = 4_000_000   # of items sent to tasks at once
@@ -76,7 +77,8 @@ def rare_seeds(block: Block, documents: np.ndarray) -> tuple[np.ndarray, np.ndar
         often = documents[np.searchsorted(block.grams, g)]
         width = min(WINDOW, len(g))
         runs = np.lib.stride_tricks.sliding_window_view(often, width)
-        chosen = np.unique(np.arange(len(runs)) + runs.argmin(axis=1))
+        least = runs.min(axis=1)[:, None]
+        chosen = np.unique((np.arange(len(runs))[:, None] + np.arange(width))[runs <= RARE * least + RARE])
         gram.append(g[chosen])
         item.append(np.full(len(chosen), i))
         place.append(chosen)

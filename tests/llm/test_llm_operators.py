@@ -170,7 +170,7 @@ def test_contamination_finds_copies_and_edited_copies_only(spark, sf):
     for n, r in enumerate(items):
         words = r.text.split()
         edited = [("zz" if rng.random() < 0.12 else w) for w in words]
-        for kind, body in enumerate((words, edited, [w.upper() + "," for w in words])):
+        for kind, body in enumerate((words, edited, [w.upper() + "," if w.isascii() else w for w in words])):
             made.append((3 * n + kind, " ".join(clean[n: n + 9] + body + clean[n + 9: n + 20])))
             if len(re.findall(r"\w+", r.text)) >= decontaminate.ITEM_WORDS:
                 want.add((3 * n + kind, r.item_id))
