@@ -5,8 +5,7 @@ ratio of an n-gram's share among toxic and among clean texts scales the n-gram;
 learns one weight for each on top of that.  Scoring is one pass over the documents.
 
 The fit uses a bounded sample of labelled rows (``SAMPLE_ROWS`` of either class, those of the smallest
-seeded hash of the id); it is the only thing that comes to the driver.  Scores of all documents are made
-where the documents are.
+seeded hash of the id) in one task.  Scores of all documents are made where the documents are.
 
 Defined cases: null counts as empty, an empty text scores by its padding alone; labels that are null, or
 belong to no document, are left out; of several labels of one document the largest counts; without
@@ -72,9 +71,9 @@ def fit(sets: list[np.ndarray], toxic: np.ndarray, share: float) -> Classifier:
     prior = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
     if not len(sets) or toxic.min() == toxic.max():
         return Classifier(np.zeros(size, np.float32), prior)
-    flat = np.concatenate(sets)
-    owner = np.repeat(toxic, [len(s) for s in sets])
-    count = [np.bincount(flat[owner == c], minlength=size) for c in (0, 1)]
+    count = np.zeros((2, size), dtype=np.int64)
+    for s, y in zip(sets, toxic.tolist()):
+        count[y, s] += 1
     texts = np.bincount(toxic, minlength=2)
     ratio = np.log((count[1] + 1) / (texts[1] + 2)) - np.log((count[0] + 1) / (texts[0] + 2))
     ratio[count[0] + count[1] < 2] = 0          # seen in one text only
@@ -117,11 +116,19 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
     # the sample's size is bounded by ``rows``
     chosen = docs.select(F.col(key).alias("_key"), text_of(text).alias("_text")).join(F.broadcast(sample), "_key") \
-        .mapInPandas(grams_of, "_key long, _toxic int, grams binary").collect()
-    chosen.sort(key=lambda r: (r["_key"], r["_toxic"], r["grams"]))
+        .mapInPandas(grams_of, "_key long, _toxic int, grams binary")
     share = counts.get(1, 0) / sum(counts.values())
-    return fit([np.frombuffer(r["grams"], dtype=np.int32) for r in chosen],
-               np.array([r["_toxic"] for r in chosen], dtype=np.int64), share)
+
+    def fit_all(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_key", "grams"])
+        model = fit([np.frombuffer(g, dtype=np.int32) for g in pdf["grams"]], pdf["_toxic"].to_numpy(np.int64), share)
+        return pd.DataFrame({"weights": [model.weights.tobytes()], "bias": [model.bias]})
+
+    # one task fits the sample; only the weights come to the driver
+    fitted = chosen.groupBy().applyInPandas(fit_all, "weights binary, bias double").first()
+    if fitted is None:
+        return fit([], np.empty(0, np.int64), share)
+    return Classifier(np.frombuffer(fitted["weights"], dtype=np.float32), fitted["bias"])
 
 
 def score_toxicity(df: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
