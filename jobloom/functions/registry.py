@@ -29,10 +29,12 @@ def register_functions(spark: SparkSession) -> list[str]:
                 rf"r'[^\p{{L}}\p{{N}}]+'), w -> w != ''), "
                 "w -> transform(sequence(1, length(w) + 1), i -> substr(concat('  ', w, ' '), i, 3)))))")
     define("posting_trigrams", ["x"], "ARRAY<STRING>", grams("x"))
-    define("trigram_similarity", ["a", "b"], "DOUBLE",
-           "CASE WHEN size(array_union(posting_trigrams(a), posting_trigrams(b))) = 0 THEN 0D ELSE "
-           "size(array_intersect(posting_trigrams(a), posting_trigrams(b))) / "
-           "size(array_union(posting_trigrams(a), posting_trigrams(b))) END")
+    def overlap(a, b):
+        # the lists are bound once as the fields of a struct
+        return (f"element_at(transform(array(struct({a} AS x, {b} AS y)), p -> CASE WHEN size(array_union(p.x, p.y)) = 0 THEN 0D "
+                "ELSE size(array_intersect(p.x, p.y)) / size(array_union(p.x, p.y)) END), 1)")
+
+    define("trigram_similarity", ["a", "b"], "DOUBLE", overlap("posting_trigrams(a)", "posting_trigrams(b)"))
 
     cases = " ".join(
         "WHEN " + " OR ".join(f"contains(lower(trim(x)), '{n}')" for n in needles) + f" THEN '{province}'"
@@ -41,8 +43,7 @@ def register_functions(spark: SparkSession) -> list[str]:
 
     spark.udf.register("posting_seq_ratio", S.seq_ratio)
     define("posting_jaccard", ["a", "b"], "DOUBLE",
-           "CASE WHEN size(array_union(split(a, ' '), split(b, ' '))) = 0 THEN 0D ELSE "
-           "size(array_intersect(split(a, ' '), split(b, ' '))) / size(array_union(split(a, ' '), split(b, ' '))) END")
+           overlap(*(f"filter(split({v}, ' '), w -> w != '')" for v in "ab")))
     spark.udf.register("posting_mixed", S.mixed_similarity)
     define("posting_similarity", ["a", "b"], "DOUBLE", "posting_mixed(posting_normalize(a), posting_normalize(b))")
     return ["posting_normalize", "posting_trigrams", "trigram_similarity", "province_of",

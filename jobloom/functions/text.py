@@ -37,6 +37,15 @@ def display_default(c: str | Column, label: str) -> Column:
     return F.coalesce(blank_to_null(F.trim(col(c))), F.lit(label))
 
 
+#: All characters that count as white space at the ends of a text
+WHITE_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def strip(c: str | Column) -> Column:
+    """Without white space of any kind at the ends; ``trim`` removes blanks only."""
+    return F.btrim(col(c), F.lit(WHITE_SPACE))
+
+
 def collapse_blanks(c: str | Column) -> Column:
     return F.trim(F.regexp_replace(col(c), r"[\s\x{A0}]+", " "))
 
@@ -66,14 +75,14 @@ def fold_tone_marks(c: str | Column) -> Column:
 
 
 def is_unstated(c: str | Column, words: Sequence[str] = R.UNSTATED, fold: bool = False) -> Column:
-    v = F.trim(F.lower(col(c)))
+    v = strip(F.lower(col(c)))
     if fold:
         v = fold_tone_marks(v)
     return col(c).isNull() | v.isin(list(words))
 
 
 def sanitize_name(c: str | Column) -> Column:
-    cleaned = F.regexp_replace(F.lower(F.trim(col(c))), "[^a-zA-Z0-9_]", "_")
+    cleaned = F.regexp_replace(F.lower(strip(c)), "[^a-zA-Z0-9_]", "_")
     return F.coalesce(blank_to_null(cleaned), F.lit("unknown"))
 
 
@@ -284,13 +293,13 @@ def text_after_label(c: str | Column, label: str = R.WORKING_TIME_LABEL, limit:
 # ---- lists ------------------------------------------------------------------------------
 
 def join_nonempty(c: str | Column, sep: str) -> Column:
-    trimmed = F.transform(col(c), lambda x: F.trim(x))
+    trimmed = F.transform(col(c), strip)
     return F.coalesce(F.array_join(F.filter(trimmed, lambda x: x != ""), sep), F.lit(""))
 
 
 def encode_tags(c: str | Column) -> Column:
     """Ordered distinct tags as ``{a} {b}``; commas are dropped, blanks skipped."""
-    cleaned = F.transform(col(c), lambda x: F.trim(F.replace(x, F.lit(","), F.lit(""))))
+    cleaned = F.transform(col(c), lambda x: strip(F.replace(x, F.lit(","), F.lit(""))))
     kept = F.array_distinct(F.filter(cleaned, lambda x: x != ""))
     return F.coalesce(F.array_join(F.transform(kept, lambda x: F.concat(F.lit("{"), x, F.lit("}"))), " "), F.lit(""))
 

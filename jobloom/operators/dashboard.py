@@ -218,6 +218,19 @@ def tracker_state(events: DataFrame) -> DataFrame:
         *TRACKER_KEYS, "status", "saved_at", F.coalesce(F.when(current, F.col("_note.notes")), F.lit("")).alias("notes"))
 
 
+def tracker_fold(events: DataFrame) -> DataFrame:
+    """The same state from one aggregation, for streams: every key has a row, a removed posting too.
+
+    The times of a key's events are kept, as a late removal moves the time of the first save; they are
+    one user's changes of one posting.
+    """
+    folded = events.groupBy(*TRACKER_KEYS).agg(*tracker_aggregates(), F.collect_set(F.struct("ts", "event_id")).alias("_times"))
+    since = F.filter("_times", lambda t: F.col("_removed").isNull() | (t > F.col("_removed")))
+    current = F.col("_removed").isNull() | (F.struct("_note.ts", "_note.event_id") > F.col("_removed"))
+    return folded.select(*TRACKER_KEYS, "status", F.array_min(since)["ts"].alias("saved_at"),
+                         F.coalesce(F.when(current, F.col("_note.notes")), F.lit("")).alias("notes"))
+
+
 def newest_saved(state: DataFrame, n: int) -> DataFrame:
     return state.orderBy(F.desc("saved_at"), *TRACKER_KEYS).limit(n)
 

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -224,10 +224,16 @@ def company_logo(src, base, placeholders: Sequence[str] = R.PLACEHOLDER_IMAGES)
 
 # ---- list cards and detail pages --------------------------------------------------------
 
+def _one_detail(details: DataFrame, key: str) -> DataFrame:
+    """One row per key: of several, the one of the smallest fields in column order."""
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(*(c for c in details.columns if c != key)))
+    return details.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+
+
 def enrich_override(cards: DataFrame, details: DataFrame, key: str, fields: Sequence[str] = R.DETAIL_FIELDS) -> DataFrame:
     """Cards whose fields are overridden by non-empty fields of the detail page."""
     used = [f for f in fields if f in details.columns]
-    d = details.select(F.col(key).alias("_key"), *[F.col(f).alias(f"_d_{f}") for f in used])
+    d = _one_detail(details, key).select(F.col(key).alias("_key"), *[F.col(f).alias(f"_d_{f}") for f in used])
     out = cards.join(d, F.col(key) == F.col("_key"), "left")
     return out.select(*[
         F.coalesce(X.blank_to_null(f"_d_{c}"), F.col(c)).alias(c) if c in used else F.col(c) for c in cards.columns])
@@ -241,7 +247,7 @@ def enrich_fallback(cards: DataFrame, details: DataFrame, key: str, fallback: di
     ``fallback`` maps a field to the card column that fills it.
     """
     fields = [c for c in details.columns if c != key]
-    d = details.select(F.col(key).alias("_key"), *[F.col(f).alias(f"_d_{f}") for f in fields])
+    d = _one_detail(details, key).select(F.col(key).alias("_key"), *[F.col(f).alias(f"_d_{f}") for f in fields])
     out = cards.join(d, F.col(key) == F.col("_key"), "left")
     alone = F.col("_key").isNull()
     columns = []

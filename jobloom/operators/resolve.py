@@ -33,7 +33,6 @@ from jobloom.session import saved
 
 COMPARED = ["company_name", "job_title", "salary", "level"]
 CROWDED = 50  # pairs per bucket entry above which leaders go first
-LEADER_ROUNDS = 12
 
 
 @dataclass(frozen=True)
@@ -196,7 +195,7 @@ def _leaders(nodes: DataFrame, profiles: DataFrame, own: DataFrame, every: DataF
     leaders = spark.createDataFrame([], "profile string")
     absorbed = spark.createDataFrame([], "profile string, at bigint")
     matches = spark.createDataFrame([], "profile string, candidate string")
-    for _ in range(LEADER_ROUNDS):
+    while True:  # every round decides at least one posting
         decided = leaders.unionByName(absorbed.select("profile"))
         live_own = own.join(decided, "profile", "left_anti")
         live = every.join(decided, "profile", "left_anti")
@@ -310,28 +309,17 @@ def link_duplicates(decisions: DataFrame) -> DataFrame:
             .select("kept_url", "source", "job_url").distinct())
 
 
-def attach_links(postings: DataFrame, links: DataFrame, most: int = 10_000) -> DataFrame:
-    """Put the links of a posting into ``extra_info.duplicate_sources``.
-
-    A posting with more than ``most`` copies gets no embedded list, which would not fit a
-    row; its links stay in the link table and their number is put into ``attrs``.
-    """
-    sizes = links.groupBy(F.col("kept_url").alias("_url")).agg(F.count(F.lit(1)).alias("_n"))
-    entry = F.struct("source", "job_url")
-    small = (links.join(sizes.filter(F.col("_n") <= most), F.col("kept_url") == F.col("_url"), "left_semi")
-             .groupBy(F.col("kept_url").alias("_small")).agg(F.array_sort(F.collect_list(entry)).alias("_links")))
-    out = (postings.join(sizes, F.col("job_url") == F.col("_url"), "left")
-           .join(small, F.col("job_url") == F.col("_small"), "left"))
-    old = F.col("extra_info.attrs") if "extra_info" in postings.columns else F.lit(None).cast("map<string,string>")
-    big = F.map_concat(F.coalesce(old, F.expr("cast(map() as map<string,string>)")),
-                       F.create_map(F.lit("duplicate_links"), F.col("_n").cast("string")))
-    before = (F.col("extra_info.duplicate_sources") if "extra_info" in postings.columns
-              else F.lit(None).cast("array<struct<source:string,job_url:string>>"))
-    merged = F.coalesce(F.array_sort(F.array_union(F.coalesce(before, F.array().cast(
-        "array<struct<source:string,job_url:string>>")), F.col("_links"))), before)
-    info = F.struct(merged.alias("duplicate_sources"),
-                    F.when(F.col("_n") > most, big).otherwise(old).alias("attrs"))
-    return out.withColumn("extra_info", info).drop("_url", "_n", "_small", "_links")
+def attach_links(postings: DataFrame, links: DataFrame) -> DataFrame:
+    """Put all links of a posting into ``extra_info.duplicate_sources``, beside those it has."""
+    listed = "array<struct<source:string,job_url:string>>"
+    found = links.groupBy(F.col("kept_url").alias("_url")).agg(
+        F.array_sort(F.collect_list(F.struct("source", "job_url"))).alias("_links"))
+    out = postings.join(found, F.col("job_url") == F.col("_url"), "left")
+    given = "extra_info" in postings.columns
+    before = F.col("extra_info.duplicate_sources") if given else F.lit(None).cast(listed)
+    attrs = F.col("extra_info.attrs") if given else F.lit(None).cast("map<string,string>")
+    merged = F.coalesce(F.array_sort(F.array_union(F.coalesce(before, F.array().cast(listed)), F.col("_links"))), before)
+    return out.withColumn("extra_info", F.struct(merged.alias("duplicate_sources"), attrs.alias("attrs"))).drop("_url", "_links")
 
 
 def new_postings(postings: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -340,6 +328,17 @@ def new_postings(postings: DataFrame, decisions: DataFrame) -> DataFrame:
     return postings.join(kept, ["source", "job_url"], "left_semi")
 
 
+def sync(postings: DataFrame, master: DataFrame, sources: Sequence[str] = R.SOURCES,
+         rule: MatchRule = MatchRule()) -> tuple[DataFrame, DataFrame]:
+    """(master after the run, report): postings are resolved against the master, the new ones appended,
+    and links to copies written to stored and new postings alike."""
+    decisions = saved(resolve(postings, master, sources, rule))
+    links = saved(link_duplicates(decisions))
+    stored = attach_links(master, links)
+    fresh = attach_links(new_postings(postings, decisions), links)
+    return stored.unionByName(fresh, allowMissingColumns=True), sync_report(decisions)
+
+
 def sync_report(decisions: DataFrame) -> DataFrame:
     """Per source and in total: postings read, new and duplicate; total's source is null."""
     read = decisions.filter(F.col("status") != "existing")

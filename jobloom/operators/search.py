@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -43,9 +44,15 @@ class SearchParams:
         return (max(1, self.page) - 1) * self.size
 
 
+def like_pattern(q: str) -> str:
+    """The search text as a containment pattern.  A backslash takes the next character as it stands;
+    the planner knows that only of wildcards and backslashes, so before others it is dropped."""
+    return re.sub(r"\\(.)", lambda m: m[0] if m[1] in "%_\\" else m[1], f"%{q}%", flags=re.S)
+
+
 def contains_like(c: str, q: str) -> Column:
     """Case-insensitive containment; ``%`` and ``_`` in the search text stay wildcards."""
-    return F.coalesce(F.col(c).ilike(f"%{q}%"), F.lit(False))
+    return F.coalesce(F.col(c).ilike(like_pattern(q)), F.lit(False))
 
 
 def substring_match(q: str, columns=R.SUBSTRING_COLUMNS) -> Column:

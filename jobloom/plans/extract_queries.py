@@ -151,12 +151,12 @@ def _(spark, sf):
     return docs.select("doc_id", *[v.alias(k) for k, v in E.classify_spans("spans", SPANS).items()])
 
 
-@query("drop_closed_postings", f"""SELECT doc_id FROM (SELECT doc_id, CASE WHEN lang = 'de' AND n_chars % 5 = 0 THEN '' WHEN n_chars % 7 = 0 THEN 'Tin KHÔNG tồn tại' ELSE left(text, 200) || n_chars END AS t FROM documents)
+@query("drop_closed_postings", f"""SELECT doc_id FROM (SELECT doc_id, CASE WHEN lang = 'de' AND n_chars % 5 = 0 THEN '' WHEN n_chars % 7 = 0 THEN 'Tin KHÔNG tồn tại' ELSE text || n_chars END AS t FROM documents)
 WHERE t <> '' AND NOT {sql_contains('lower(t)', R.CLOSED_MARKERS)}""")
 def _(spark, sf):
     n = F.col("n_chars")
     title = (F.when((F.col("lang") == "de") & (n % 5 == 0), "").when(n % 7 == 0, "Tin KHÔNG tồn tại")
-             .otherwise(F.concat(F.substring("text", 1, 200), n.cast("string"))))
+             .otherwise(F.concat("text", n.cast("string"))))
     return E.drop_closed(table(spark, sf, "documents").withColumn("title", title), "title").select("doc_id")
 
 

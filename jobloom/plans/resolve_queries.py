@@ -243,6 +243,17 @@ def _(spark, sf):
         "extra_info.duplicate_sources", lambda x: F.concat_ws("=", x["source"], x["job_url"])), " ").alias("urls")).fillna("", ["urls"])
 
 
+@query("sync_master", merge_sql(True) + """SELECT d.job_url, d.status = 'existing' AS stored, coalesce(l.urls, '') AS urls FROM decisions d LEFT JOIN
+  (SELECT kept_url, string_agg(source || '=' || job_url, ' ' ORDER BY source, job_url) AS urls
+   FROM decisions WHERE status = 'duplicate' GROUP BY 1) l ON l.kept_url = d.job_url WHERE d.status <> 'duplicate'""")
+def _(spark, sf):
+    docs = document_postings(spark, sf)
+    old = F.col("source").isin(STORED)
+    after, _ = D.sync(docs.filter(~old), docs.filter(old), SOURCES, TOKENS)
+    urls = F.array_join(F.transform("extra_info.duplicate_sources", lambda x: F.concat_ws("=", x["source"], x["job_url"])), " ")
+    return after.select("job_url", old.alias("stored"), F.coalesce(urls, F.lit("")).alias("urls"))
+
+
 @query("sync_report", merge_sql(True) + """SELECT source, count(*) AS total, count(*) FILTER (status = 'kept') AS new,
 count(*) FILTER (status = 'duplicate') AS duplicate FROM decisions WHERE status <> 'existing' GROUP BY ROLLUP (source)""")
 def _(spark, sf):

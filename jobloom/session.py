@@ -19,7 +19,7 @@ DEFAULTS = {
 
 def local_session(cpus: int | str = 8, app: str = "jobloom", **conf: str) -> SparkSession:
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)
-    settings = {**DEFAULTS, "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g",
+    settings = {**DEFAULTS, "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.jobloom.spread": str(cpus),
                 # little data, but costly rows: keep all cores busy after a shuffle
                 "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k", **conf}
     for key, value in settings.items():

@@ -27,14 +27,17 @@ def read_source(spark: SparkSession, path: str, schema: T.StructType = POSTING)
         return spark.createDataFrame([], schema)
 
 
+SPREAD = "spark.jobloom.spread"
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when they come from fewer files than there are cores.
+    """Rows dealt over as many tasks as the session's ``spark.jobloom.spread`` names.
 
-    A single file of one row group is read by one task, and so would be all the text work
-    behind it.  Tables of many files are left as they are, without a shuffle.
+    For text tables that are one file of one row group, which a single task would read.  Unset, as
+    on a cluster, tables stay as the scan splits them, without a shuffle.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    tasks = df.sparkSession.conf.get(SPREAD, None)
+    return df.repartition(int(tasks)) if tasks else df
 
 
 def read_jdbc_source(spark: SparkSession, url: str, table: str, key: str, bounds: Sequence[str],

@@ -23,9 +23,13 @@ def flat(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, quote_all: bool = False) -> None:
-    """CSV files with header, each starting with a byte order mark."""
+    """Complete CSV files, each with header and byte order mark.
+
+    Rows are rebalanced first, so there are no files without rows beside others, and a small table is
+    one file.
+    """
     first, *_ = df.columns
-    (flat(df).withColumnRenamed(first, BOM + first).write.mode("overwrite")
+    (flat(df).withColumnRenamed(first, BOM + first).hint("rebalance").write.mode("overwrite")
      .csv(path, header=True, quote='"', escape='"', quoteAll=quote_all, emptyValue='""' if quote_all else "",
           nullValue=None if quote_all else "", lineSep="\r\n" if quote_all else "\n",
           ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False))

@@ -1,64 +1,50 @@
-"""The sequential merge written plainly, to check the distributed one on small data."""
+"""The sequential merge on normalised postings, to check the distributed one on small data.
 
-import difflib
-import re
+Normalised fields come from the engine, whose normalisation has golden rows and SQL twins of its own.
+"""
 
-from jobloom import rules as R
+from collections import namedtuple
+from difflib import SequenceMatcher
 
-WORD = r"[^\W]"
+Posting = namedtuple("Posting", "source url at company title salary level block")
 
+#: score of a field by how many of its two values are unstated
+UNSTATED = {2: 1.0, 1: 0.5}
 
-def normalize(text):
-    t = (text or "").lower().strip()
-    t = re.sub(r"\b(?:" + "|".join(R.COMPANY_TERMS) + r")\b", " ", t)
-    return " ".join(re.sub(r"[^\w\s]", " ", t).split())
 
+def measures(a, b):
+    """Token overlap and character ratio of two different texts."""
+    common = {*a.split()} & {*b.split()}
+    yield len(common) / len({*a.split(), *b.split()})
+    yield SequenceMatcher(None, a, b).ratio()
 
-def similarity(a, b, characters=True):
-    a, b = normalize(a), normalize(b)
-    if a == b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    x, y = set(a.split()), set(b.split())
-    overlap = len(x & y) / len(x | y)
-    return max(overlap, difflib.SequenceMatcher(None, a, b).ratio()) if characters else overlap
 
+def score(a, b, characters):
+    missing = (a is None) + (b is None)
+    if missing:
+        return UNSTATED[missing]
+    if a == b or not (a and b):
+        return float(a == b)
+    tokens, ratio = measures(a, b)
+    return max(tokens, ratio if characters else 0.0)
 
-def unstated(v):
-    return v is None or v.lower().strip() in R.UNSTATED
 
+def same(a, b, t, characters):
+    """Company and title reach the threshold, and one of salary and level."""
+    at_least = {f: score(getattr(a, f), getattr(b, f), characters) >= t for f in ("company", "title", "salary", "level")}
+    return at_least["company"] and at_least["title"] and (at_least["salary"] or at_least["level"])
 
-def field(a, b, characters):
-    if unstated(a) and unstated(b):
-        return 1.0
-    if unstated(a) or unstated(b):
-        return 0.5
-    return similarity(a, b, characters)
 
-
-def matches(new, old, t=0.9, characters=True):
-    return (similarity(new["company_name"], old["company_name"], characters) >= t
-            and similarity(new["job_title"], old["job_title"], characters) >= t
-            and (field(new["salary"], old["salary"], characters) >= t
-                 or field(new["level"], old["level"], characters) >= t))
-
-
-def scan(rows, sources, master=(), t=0.9, characters=True):
-    """[(source, job_url, status, kept_url)] in scan order."""
-    rank = {s: i for i, s in enumerate(sources)}
-    rows = sorted(rows, key=lambda r: (rank.get(r["source"], len(rank)), r["source"], r["created_at"], r["job_url"]))
-    kept = sorted(master, key=lambda r: (r["created_at"], r["job_url"]))
-    out = []
-    for r in rows:
-        block = normalize(r["company_name"])[:3]
-        for k in kept:
-            if normalize(k["company_name"])[:3] != block:
-                continue
-            if (r["job_url"] and r["job_url"] == k["job_url"]) or matches(r, k, t, characters):
-                out.append((r["source"], r["job_url"], "duplicate", k["job_url"]))
-                break
-        else:
-            kept.append(r)
-            out.append((r["source"], r["job_url"], "kept", None))
+def scan(postings, sources, master=(), t=0.9, characters=True):
+    """[(source, url, status, kept url)]: each posting against those kept before it in its block."""
+    place = {s: i for i, s in enumerate(sources)}
+    shelf, out = {}, []
+    for p in sorted(master, key=lambda p: (p.at, p.url)):
+        shelf.setdefault(p.block, []).append(p)
+    for p in sorted(postings, key=lambda p: (place.get(p.source, len(place)), p.source, p.at, p.url)):
+        kept = shelf.setdefault(p.block, [])
+        hit = next((k for k in kept if (p.url and p.url == k.url) or same(p, k, t, characters)), None)
+        if hit is None:
+            kept.append(p)
+        out.append((p.source, p.url, "kept" if hit is None else "duplicate", hit and hit.url))
     return out

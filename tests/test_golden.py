@@ -173,3 +173,55 @@ def test_piece_rule_bounds():
     assert B.PieceRule(0.5).short_zone >= 0
     with pytest.raises(ValueError):
         B.PieceRule(0.0)
+
+
+def test_backslash_in_a_search(spark):
+    from jobloom.operators.search import contains_like
+
+    df = spark.createDataFrame([("C:x",), ("50% off",), ("a_b",), ("acb",), ("back\\slash",)], "t string")
+    hits = lambda q: {r.t for r in df.filter(contains_like("t", q)).collect()}
+    assert hits("C:\\x") == {"C:x"}
+    assert hits("50\\%") == {"50% off"}
+    assert hits("a\\_b") == {"a_b"} and hits("a_b") == {"a_b", "acb"}
+    assert hits("k\\\\s") == {"back\\slash"}
+
+
+def test_white_space_of_any_kind(spark):
+    from pyspark.sql import functions as F
+    from jobloom.functions.text import is_unstated, join_nonempty, sanitize_name
+
+    df = spark.createDataFrame([("\nThương lượng\t", "a\n", ["\t", " x\u00a0"])], "s string, n string, l array<string>")
+    r = df.select(is_unstated("s").alias("u"), sanitize_name("n").alias("n"), join_nonempty("l", ",").alias("j")).first()
+    assert (r.u, r.n, r.j) == (True, "a", "x")
+    assert F is not None
+
+
+def test_details_do_not_multiply_cards(spark):
+    from jobloom.operators.extract import enrich_fallback, enrich_override
+
+    cards = spark.createDataFrame([("u", "t")], "job_url string, job_title string")
+    details = spark.createDataFrame([("u", "b"), ("u", "a")], "job_url string, job_title string")
+    assert [r.job_title for r in enrich_override(cards, details, "job_url", ["job_title"]).collect()] == ["a"]
+    assert enrich_fallback(cards, details, "job_url", {}, {}).count() == 1
+
+
+def test_sql_functions_agree(spark):
+    from jobloom.functions.registry import register_functions
+
+    register_functions(spark)
+    r = spark.sql("SELECT posting_jaccard('', '') AS a, posting_jaccard('x y', 'y z') AS b, trigram_similarity('', '') AS c, "
+                  "trigram_similarity('java', 'java') AS d").first()
+    assert (r.a, round(r.b, 6), r.c, r.d) == (0.0, 0.333333, 0.0, 1.0)
+
+
+def test_tracker_fold_takes_late_events(spark):
+    from jobloom.operators.dashboard import tracker_fold, tracker_state
+
+    rows = [(1, 1, "a", "saved", "", 10), (2, 1, "a", "applied", "n", 30), (3, 1, "a", "interviewing", "", 20),
+            (4, 2, "b", "saved", "", 10), (5, 2, "b", "removed", "", 30), (6, 2, "b", "interviewing", "", 20),
+            (7, 3, "c", "saved", "m", 5), (8, 3, "c", "removed", "", 6), (9, 3, "c", "saved", "", 9), (10, 3, "c", "applied", "", 12)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, job_url string, status string, notes string, s long") \
+        .selectExpr("event_id", "user_id", "job_url", "status", "notes", "timestamp_seconds(s) AS ts")
+    want = {tuple(r) for r in tracker_state(df).collect()}
+    got = {tuple(r) for r in tracker_fold(df).filter("status <> 'removed'").select(*tracker_state(df).columns).collect()}
+    assert got == want and {(r[0], r[2]) for r in got} == {(1, "applied"), (3, "applied")}
