@@ -106,8 +106,8 @@ def _one_decimal(c: Column) -> Column:
 def role_bands(roles: DataFrame) -> DataFrame:
     """Pay bands of the four seniorities from a role's least, average and greatest pay."""
     low, avg, high = F.col("min_pay"), F.col("avg_pay"), F.col("max_pay")
-    edges = {"fresher": (half_up(low * 0.7), half_up(low * 1.1)), "middle": (half_up(avg * 0.75), half_up(avg * 1.15)),
-             "senior": (half_up(avg * 1.15), half_up(high * 0.95)), "lead": (half_up(high * 0.9), half_up(high * 1.35))}
+    pay = {"min": low, "avg": avg, "max": high}
+    edges = {band: [half_up(pay[of] * factor) for of, factor in pair] for band, pair in R.BAND_EDGES.items()}
     out = roles.withColumns({f"{b}_{e}": v for b, pair in edges.items() for e, v in zip(("min", "max"), pair)})
     mean = lambda b: _one_decimal((F.col(f"{b}_min") + F.col(f"{b}_max")) / 2)
     return out.withColumns({"fresher_avg": mean("fresher"), "middle_avg": _one_decimal(avg),

@@ -151,8 +151,8 @@ def text_before(c: str | Column, mark: str) -> Column:
 def title_fallback(heading, meta, card) -> Column:
     """Heading, else the title inside "Recruiting X at", else the text before a pipe, else
     the list card's title."""
-    recruiting = F.trim(F.regexp_extract(X.col(meta), r"(?i)Recruiting\s+(.+?)\s+at\s+", 1))
-    before = F.trim(F.replace(F.substring_index(X.col(meta), "|", 1), F.lit("Tuyển dụng"), F.lit("")))
+    recruiting = F.trim(F.regexp_extract(X.col(meta), R.RECRUITING_TITLE, 1))
+    before = F.trim(F.replace(F.substring_index(X.col(meta), "|", 1), F.lit(R.RECRUITING_WORDS), F.lit("")))
     return F.coalesce(X.first_nonempty(heading, recruiting, before, card), F.lit(""))
 
 

@@ -124,16 +124,16 @@ def _(spark, sf):
                                    F.size(X.decode_tags(encoded)).cast("bigint").alias("tags"))
 
 
-@query("title_fallback", r"""SELECT page_id, CASE page_id % 4
+@query("title_fallback", rf"""SELECT page_id, CASE page_id % 4
   WHEN 0 THEN regexp_extract(html, '(?is)<h1[^>]*>([^<]*)</h1>', 1)
-  WHEN 1 THEN trim(regexp_extract('Recruiting ' || regexp_extract(html, '(?is)<title>([^<]*)</title>', 1) || ' at Acme | x', '(?i)Recruiting\s+(.+?)\s+at\s+', 1))
-  WHEN 2 THEN trim(replace(url, 'Tuyển dụng', '')) ELSE 'card ' || page_id END AS title FROM pages""")
+  WHEN 1 THEN trim(regexp_extract('Recruiting ' || regexp_extract(html, '(?is)<title>([^<]*)</title>', 1) || ' at Acme | x', '{R.RECRUITING_TITLE}', 1))
+  WHEN 2 THEN trim(replace(url, '{R.RECRUITING_WORDS}', '')) ELSE 'card ' || page_id END AS title FROM pages""")
 def _(spark, sf):
     inner = F.regexp_extract("html", r"(?is)<title>([^<]*)</title>", 1)
     k = F.col("page_id") % 4
     heading = F.when(k == 0, F.regexp_extract("html", r"(?is)<h1[^>]*>([^<]*)</h1>", 1)).otherwise("")
     meta = (F.when(k == 1, F.concat(F.lit("Recruiting "), inner, F.lit(" at Acme | x")))
-            .when(k == 2, F.concat(F.lit("Tuyển dụng "), "url", F.lit(" | Acme"))).otherwise(""))
+            .when(k == 2, F.concat(F.lit(R.RECRUITING_WORDS + " "), "url", F.lit(" | Acme"))).otherwise(""))
     return pages(spark, sf).select("page_id", E.title_fallback(heading, meta, F.concat(
         F.lit("card "), F.col("page_id").cast("string"))).alias("title"))
 

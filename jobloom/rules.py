@@ -291,3 +291,13 @@ GEO_NODES = [
     ("Kiên Giang", "south", 10.0125, 105.0809, ["kien giang", "rạch giá", "phú quốc"]),
     ("Cà Mau", "south", 9.1769, 105.1524, ["ca mau"]),
 ]
+
+# The page title's pattern around a posting's title, and the words before it
+RECRUITING_TITLE = r"(?i)Recruiting\s+(.+?)\s+at\s+"
+RECRUITING_WORDS = "Tuyển dụng"
+
+# Pay bands as factors of a role's least, average and greatest pay
+BAND_EDGES = {
+    "fresher": (("min", 0.7), ("min", 1.1)), "middle": (("avg", 0.75), ("avg", 1.15)),
+    "senior": (("avg", 1.15), ("max", 0.95)), "lead": (("max", 0.9), ("max", 1.35)),
+}
