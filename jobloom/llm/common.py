@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 SPACES = "\t\n\x0b\x0c\r "          # the characters of [\x20\x09-\x0D]
 WORD = r"[^\x20\x09-\x0D]+"
-CHUNK_BYTES = 4_000_000             # texts handled by one round of numpy calls; longer ones go alone
+CHUNK_BYTES = 1_000_000             # texts handled by one round of numpy calls; longer ones go alone
 BATCH_ROWS = 2_000                  # rows of an Arrow batch, as texts may be long
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)

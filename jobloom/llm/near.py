@@ -9,8 +9,9 @@
    of similarity 0.8 is missed with a probability below 3e-6.
 3. **Pairs.**  Texts with equal shingle sets are one node from the start.  A bucket does not pair all its
    nodes: each is compared with the bucket's leader.  Buckets whose nodes are not all in one component
-   after that go on with 8, 64, 512, ... leaders, until every pair across components was compared.  Groups
-   of many copies end after the first comparison; nothing is capped.
+   after that go on with 8, 64, 512, ... leaders, until every pair across components was compared or ruled
+   out: shingles that no other text of these buckets has bound what a text can share.  Groups of many
+   copies end after the first comparison; nothing is capped.
 4. **Likelihood.**  The numbers of registers in which one text is ahead, behind or equal, with the known
    set sizes, give the likelihood of every similarity.  Pairs that are surely below the threshold go.
 5. **Verification.**  The others are compared on their whole sets.  Components come from the links found.
@@ -40,8 +41,9 @@ BAND = 6               # registers of a band
 BANDS = REGISTERS // BAND
 SHINGLE = 5
 PERCENT = 80           # least similarity
-DOUBT = 25.0           # log likelihood by which a pair must be worse at the threshold to be dropped
+DOUBT = 16.0           # log likelihood by which a pair must be worse at the threshold to be dropped
 GROWTH = 8             # of the number of leaders from round to round
+FEWER_FILES = 8        # times fewer than shuffle partitions, for tables of links and labels
 BROADCAST_ROWS = 1_000_000   # of numbers, some 16 bytes each
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -161,6 +163,12 @@ def _sketches(n: int, percent: int):
     return run
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """A saved table of links, labels or candidates: few bytes a row, so few files."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return saved(df.coalesce(max(1, tasks // FEWER_FILES)))
+
+
 def _small(df: DataFrame) -> DataFrame:
     """A saved table of numbers with a broadcast hint where its row count allows."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
@@ -196,21 +204,37 @@ def _verified(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ma", "mb").mapInPandas(keep, "a long, b long")
 
 
+def _own_shingles(nodes: DataFrame, info: DataFrame) -> DataFrame:
+    """(node, own): how many shingles of a node no other one of ``nodes`` has, where there are any."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for a in range(0, len(pdf), 200):
+                sets = [_unpack(m).astype(np.int64) for m in pdf["members"].iloc[a: a + 200]]
+                if sets:
+                    yield pd.DataFrame({"shingle": np.concatenate(sets),
+                                        "node": np.repeat(pdf["node"].iloc[a: a + 200].to_numpy(), [len(s) for s in sets])})
+
+    spread = info.select("node", "members").join(_small(nodes), "node", "left_semi").mapInPandas(rows, "shingle long, node long")
+    return spread.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1") \
+        .groupBy("node").agg(F.count("*").alias("own"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp): the smallest node reachable, for every node of ``edges`` (a, b).
 
     Each round takes the smallest label among neighbours and then that label's own label, so the
     length of a chain halves.
     """
-    both = saved(edges.select(F.col("a").alias("node"), F.col("b").alias("other"))
+    both = _kept(edges.select(F.col("a").alias("node"), F.col("b").alias("other"))
                  .union(edges.select("b", "a")).distinct())
-    labels = saved(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("comp")))
+    labels = _kept(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("comp")))
     while True:
         of_other = labels.select(F.col("node").alias("other"), F.col("comp").alias("theirs"))
         near = both.join(of_other, "other").groupBy("node").agg(F.min("theirs").alias("least"))
         lower = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "least").alias("comp"))
         jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
-        after = saved(lower.join(jump, "comp", "left").select(
+        after = _kept(lower.join(jump, "comp", "left").select(
             "node", "old", F.least(F.col("comp"), F.coalesce("next", "comp")).alias("comp")))
         labels = after.select("node", "comp")
         if after.where("old <> comp").isEmpty():
@@ -223,7 +247,7 @@ def near_classes(df: DataFrame, text: str = "text", key: str = "doc_id", n: int
     docs = saved(df.select(F.col(key).cast("long").alias("_key"), text_of(text).alias("_text"))
                  .mapInPandas(_sketches(n, percent), _SKETCHED))
     held = docs.where("bands IS NOT NULL")
-    entries = held.select(F.explode("bands").alias("bucket"), "node", "n_shingles")
+    entries = held.select(F.posexplode("bands").alias("band", "bucket"), "node", "n_shingles")
     shared = entries.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last")
     buckets = saved(entries.join(shared.select("bucket", "leader"), "bucket").distinct())
     apart = "100 * least(n_a, n_b) >= {0} * greatest(n_a, n_b)".format(percent)
@@ -231,31 +255,40 @@ def near_classes(df: DataFrame, text: str = "text", key: str = "doc_id", n: int
     leaders = buckets.where("node = leader").select("bucket", F.col("node").alias("b"), F.col("n_shingles").alias("n_b"))
     pairs = buckets.where("node <> leader").select("bucket", F.col("node").alias("a"), F.col("n_shingles").alias("n_a")) \
         .join(leaders, "bucket").where(apart).select("a", "b").distinct()
-    pairs = saved(pairs)
-    touched = saved(buckets.select("node").distinct())
-    info = saved(held.select("node", "n_shingles", "sketch", "members").join(_small(touched), "node", "left_semi")
+    pairs = _kept(pairs)
+    touched = _kept(buckets.select("node").distinct())
+    info = saved(held.select("node", "n_shingles", "bands", "sketch", "members").join(_small(touched), "node", "left_semi")
                  .dropDuplicates(["node"]))
-    links = saved(_verified(saved(_estimated(pairs, info, percent)), info, percent))
-    tried, labels, leaders_now = pairs, components(links), 1
+    links = _kept(_verified(_estimated(pairs, info, percent), info, percent))
+    labels, before, leaders_now, own = components(links), 0, 1, None
     while True:
         comp = labels.select("node", "comp")
-        now = buckets.select("bucket", "node", "n_shingles").join(comp, "node", "left") \
+        now = buckets.select("band", "bucket", "node", "n_shingles").join(comp, "node", "left") \
             .withColumn("comp", F.coalesce("comp", "node"))
         mixed = now.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("size")) \
             .where("c1 <> c2").select("bucket", "size")
-        rest = saved(now.join(mixed, "bucket"))
+        rest = _kept(now.join(mixed, "bucket"))
         if rest.isEmpty() or rest.where(F.col("size") > leaders_now).isEmpty():
             break
-        leaders_now *= GROWTH
-        lead = rest.where(F.pmod(F.xxhash64("node", "bucket"), F.col("size")) < leaders_now)
-        a = rest.select("bucket", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("n_shingles").alias("n_a"))
-        b = lead.select("bucket", F.col("node").alias("y"), F.col("comp").alias("cy"), F.col("n_shingles").alias("n_b"))
-        met = a.join(b, "bucket").where("cx <> cy").where(apart) \
-            .select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-        pairs = saved(met.join(tried, ["a", "b"], "left_anti"))
+        before, leaders_now = (0 if own is None else leaders_now), leaders_now * GROWTH
+        if own is None:
+            own = _kept(_own_shingles(_kept(rest.select("node").distinct()), info))
+        # n_shingles less those that nobody else has is the most a node can share
+        turn = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / F.lit(1 << 30) * F.col("size")
+        rest = rest.join(_small(own), "node", "left").withColumn("most", F.col("n_shingles") - F.coalesce("own", F.lit(0))) \
+            .where("100 * most >= {0} * n_shingles".format(percent)).withColumn("turn", turn) \
+            .where(F.col("turn") >= before).join(info.select("node", "bands"), "node")
+        side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("node", "comp", "n_shingles", "most", "turn", "bands")]
+        lead = rest.where(F.col("turn") < leaders_now).select("bucket", *side("b"))
+        # Each pair once: in the first band it shares, and when the first of both leads there.
+        share = "least(most_a, most_b)"
+        met = rest.select("bucket", "band", *side("a")).join(lead, "bucket").where("comp_a <> comp_b") \
+            .where(f"100 * {share} >= {percent} * (n_shingles_a + n_shingles_b - {share})") \
+            .where((F.col("turn_a") >= leaders_now) | (F.col("node_a") > F.col("node_b"))) \
+            .where(~F.arrays_overlap(F.slice("bands_a", F.lit(1), F.col("band")), F.slice("bands_b", F.lit(1), F.col("band"))))
+        pairs = _kept(met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
         if not pairs.isEmpty():
-            found = saved(_verified(saved(_estimated(pairs, info, percent)), info, percent))
-            tried = tried.union(pairs)
+            found = _kept(_verified(_estimated(pairs, info, percent), info, percent))
             if not found.isEmpty():
                 links = links.union(found)
                 labels = components(links)
@@ -264,7 +297,7 @@ def near_classes(df: DataFrame, text: str = "text", key: str = "doc_id", n: int
     least = docs.where("n_shingles > 0").groupBy("node").agg(F.min("_key").alias("least"))
     of_node = least.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     of_comp = of_node.groupBy("comp").agg(F.min("least").alias("component_id"))
-    named = saved(of_node.join(of_comp, "comp").select(F.col("node").alias("_node"), "component_id"))
+    named = _kept(of_node.join(of_comp, "comp").select(F.col("node").alias("_node"), "component_id"))
     found = docs.select("_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")) \
         .join(named, F.col("node") == F.col("_node"), "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("_key"))
@@ -275,6 +308,6 @@ def near_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", n: int =
                percent: int = PERCENT) -> DataFrame:
     """The rows of ``df`` that stay: one document of each component."""
     name = free_name(df, "_dropped")
-    dropped = saved(near_classes(df, text, key, n, percent).where("NOT kept AND _key IS NOT NULL")
+    dropped = _kept(near_classes(df, text, key, n, percent).where("NOT kept AND _key IS NOT NULL")
                     .select(F.col("_key").alias(name)).distinct())
     return df.join(_small(dropped), F.col(key) == F.col(name), "left_anti")
