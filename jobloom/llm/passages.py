@@ -43,9 +43,11 @@ from jobloom.session import saved
 LENGTH = 100
 GRAM = 25
 WIDTH = LENGTH - GRAM + 1      # places a string can pick from
-CHUNK = 4_000_000              # bytes of one round of numpy calls
+CHUNK = 1_000_000              # bytes of one round of numpy calls
+RUN_BYTES = 12_000_000         # texts held for one run
 PIECE = 8_000_000              # longer texts are handled in overlapping pieces of so many bytes
-RECORDS = 1_000_000            # suffixes of one run
+RECORDS = 1_000_000            # places that a task holds
+RUN_RECORDS = 60_000           # suffixes of one run
 RANGE_ROWS = 4_000             # documents for each hash range
 LAST_ID = (1 << 63) - 1
 PLACE = np.dtype([("hash", "<u8"), ("id", "<i8"), ("print", "<i8"), ("at", "<u4"), ("least", "u1"), ("most", "u1")])
@@ -122,9 +124,12 @@ def _by_range(hashes: np.ndarray, ranges: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
+_PICKED = ["id", "print", "spots", "part", "places"]
+
+
 def _pick(ranges: int):
-    """Places by hash range.  Those that repeat within the task are known to repeat: they go with ``known``, and
-    one of them stands for the task in the range."""
+    """Places by hash range, one of each hash.  Those that repeat within the task are known to repeat: they come as
+    rows of their documents besides."""
 
     def flush(held: list[np.ndarray]) -> Iterator[pd.DataFrame]:
         places = np.concatenate(held)
@@ -133,11 +138,12 @@ def _pick(ranges: int):
         same = h[1:] == h[:-1]
         known = np.concatenate([[False], same]) | np.concatenate([same, [False]])
         first = np.concatenate([[True], ~same])
-        for flag, some in ((False, places[first]), (True, places[known])):
-            part = _by_range(some["hash"], ranges)
-            cut = np.searchsorted(part, np.arange(ranges + 1))
-            full = np.flatnonzero(np.diff(cut))
-            yield pd.DataFrame({"part": full, "known": flag, "places": [some[cut[p]: cut[p + 1]].tobytes() for p in full]})
+        yield _spots(places[known]).assign(part=-1, places=None)[_PICKED]
+        some = places[first]
+        cut = np.searchsorted(_by_range(some["hash"], ranges), np.arange(ranges + 1))
+        for p in np.flatnonzero(np.diff(cut)):
+            out = pd.DataFrame({"id": [None], "print": [None], "spots": [None], "part": [p], "places": [some[cut[p]: cut[p + 1]].tobytes()]})
+            yield out.astype({"id": "Int64", "print": "Int64"})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
@@ -145,7 +151,7 @@ def _pick(ranges: int):
             for places in _places_of(pdf):
                 held.append(places)
                 size += len(places)
-                if size > 4 * RECORDS:
+                if size > RECORDS:
                     yield from flush(held)
                     held, size = [], 0
         if size:
@@ -173,12 +179,6 @@ def _repeated(pdf: pd.DataFrame) -> pd.DataFrame:
     return _spots(places[count[which] > 1])
 
 
-def _known(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for data in pdf["places"]:
-            yield _spots(np.frombuffer(data, PLACE))
-
-
 # ---- 2. runs -----------------------------------------------------------------------------------
 
 def _stretches(ids: np.ndarray, prints: np.ndarray, low: np.ndarray, high: np.ndarray) -> pd.DataFrame:
@@ -205,9 +205,10 @@ def _sort_run(spots: np.ndarray, ids: np.ndarray, prints: np.ndarray, text: np.n
 
     ``text`` holds the texts behind each other, ``place`` the index of each suffix in it.
     """
-    right = text[np.minimum(place[:, None] + np.arange(LENGTH), len(text) - 1)]
+    view = np.lib.stride_tricks.sliding_window_view
+    right = view(np.concatenate([text, np.zeros(LENGTH, np.uint8)]), LENGTH)[place]
     right[np.arange(LENGTH) >= LENGTH - spots["least"].astype(np.int64)[:, None]] = 0
-    left = text[np.maximum(place[:, None] - 1 - np.arange(WIDTH - 1), 0)]
+    left = view(np.concatenate([np.zeros(WIDTH - 1, np.uint8), text]), WIDTH - 1)[place][:, ::-1]
     left[np.arange(WIDTH - 1) >= spots["most"].astype(np.int64)[:, None]] = 0
     part = _by_range(_first_hashes(right), ranges)
     whole = np.ascontiguousarray(np.concatenate([right, left, spots["least"][:, None], spots["most"][:, None]], axis=1))
@@ -276,7 +277,7 @@ def _make_runs(ranges: int):
                              spots["at"].astype(np.int64) + offset))
                 offset += len(data)
                 size += len(spots)
-                if size > RECORDS // 4 or offset > 16 * CHUNK:
+                if size > RUN_RECORDS or offset > RUN_BYTES:
                     yield from flush()
                     held, size, offset = [], 0, 0
         if held:
@@ -441,9 +442,10 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", texts
     docs = df.select(ident, F.xxhash64(text_of(text)).alias("print"), text_of(text).alias("text"))
     id_, print_, lists, my_id, my_print, out = (free_name(df, n) for n in ("_id", "_print", "_lists", "_my_id", "_my_print", "_result"))
     ranges = max(32, df.select(key).count() // RANGE_ROWS)
-    places = saved(docs.mapInPandas(_pick(ranges), "part int, known boolean, places binary"))
-    spots = places.where("NOT known").groupBy("part").applyInPandas(_repeated, "id long, print long, spots binary") \
-        .unionByName(places.where("known").select("places").mapInPandas(_known, "id long, print long, spots binary"))
+    places = saved(docs.mapInPandas(_pick(ranges), "id long, print long, spots binary, part int, places binary"))
+    spots = places.where("part >= 0").select("part", "places").groupBy("part") \
+        .applyInPandas(_repeated, "id long, print long, spots binary") \
+        .unionByName(places.where("part < 0").select("id", "print", "spots"))
     of_doc = spots.groupBy("id", "print").agg(F.collect_list("spots").alias("spots"))
     runs = saved(docs.join(of_doc, ["id", "print"]).mapInPandas(_make_runs(ranges), _RUNS))
     merged = runs.where("part >= 0").select("part", "run").groupBy("part").applyInPandas(_merge_range, STRETCH)
