@@ -35,8 +35,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobloom.llm.common import free_name
+from jobloom.session import saved
 
 IMPORTANCE = 0.2
+BROADCAST_BYTES = 16_000_000   # of the low nodes of all hosts, sent to all tasks up to that size
 PAGES = 8            # of a host before its tree decides anything
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -253,18 +255,20 @@ def host_of(url: Column) -> Column:
 
 
 def style_tree(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """(host, path, importance) of the nodes of all hosts with enough pages."""
-    # copies of a page say nothing about what differs between pages
-    rows = pages.select(host_of(F.col(url)).alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html")) \
-        .withColumn("print", F.xxhash64("html")).dropDuplicates(["host", "print"])
+    """(host, path, importance) of the nodes of all hosts with enough pages; hosts and paths by their hashes."""
+    rows = pages.select(F.xxhash64(host_of(F.col(url))).alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html")) \
+        .withColumn("print", F.xxhash64("html"))
+    number = lambda d: int(d or "0", 16) - (1 << 63)  # noqa: E731  the root has no hash
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [(h, p, k, v) for h, page in zip(pdf["host"], pdf["html"]) for p, k, v in style_features(page)]
-            yield pd.DataFrame(found, columns=["host", "path", "kind", "feature"])
+            found = [(h, number(p), k == "text", number(v), c) for h, page, c in zip(pdf["host"], pdf["html"], pdf["print"])
+                     for p, k, v in style_features(page)]
+            yield pd.DataFrame(found, columns=["host", "path", "kind", "feature", "print"])
 
-    counted = rows.mapInPandas(features, "host string, path string, kind string, feature string") \
-        .groupBy("host", "path", "kind", "feature").count()
+    # copies of a page say nothing about what differs between pages: each different page counts once
+    counted = rows.mapInPandas(features, "host long, path long, kind boolean, feature long, print long") \
+        .groupBy("host", "path", "kind", "feature").agg(F.count_distinct("print").alias("count"))
     # entropy of the features over their occurrences m: log m - sum(c log c) / m
     spread = counted.groupBy("host", "path", "kind").agg(
         F.sum("count").alias("m"), F.sum(F.col("count") * F.log("count")).alias("clogc"))
@@ -278,8 +282,10 @@ def extract_main_text(pages: DataFrame, html: str = "html", url: str = "url") ->
     low = style_tree(pages, html, url).where(F.col("importance") < IMPORTANCE) \
         .groupBy("host").agg(F.collect_list(F.struct("path", "importance")).alias("_low"))
     host, nodes, low_host = (free_name(pages, n) for n in ("_host", "_nodes", "_low_host"))
-    low = low.select(F.col("host").alias(low_host), F.to_json("_low").alias(nodes))
-    joined = pages.withColumn(host, host_of(F.col(url))).join(low, F.col(host) == F.col(low_host), "left")
+    low = saved(low.select(F.col("host").alias(low_host), F.to_json("_low").alias(nodes)))
+    size = low.agg(F.coalesce(F.sum(F.length(nodes) + 16), F.lit(0)).alias("n")).first()["n"]
+    low = F.broadcast(low) if size <= BROADCAST_BYTES else low
+    joined = pages.withColumn(host, F.xxhash64(host_of(F.col(url)))).join(low, F.col(host) == F.col(low_host), "left")
 
     @F.pandas_udf("string")
     def extract(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -290,7 +296,7 @@ def extract_main_text(pages: DataFrame, html: str = "html", url: str = "url") ->
                 if listed not in known:
                     if len(known) > 1000:
                         known.clear()
-                    known[listed] = {n["path"]: n["importance"] for n in json.loads(listed)} if listed else {}
+                    known[listed] = {f"{n['path'] + (1 << 63):016x}": n["importance"] for n in json.loads(listed)} if listed else {}
                 out.append("\n".join(main_blocks(page, known[listed])))
             yield pd.Series(out)
 
