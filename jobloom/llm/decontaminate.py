@@ -1,15 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
 1. The words of the test items are a query set.  It is taken in blocks of bounded size, so one block can be
    sent to every task whatever the benchmark grows to; each block is held against all documents.
-2. A first pass counts in how many documents each word n-gram of the items occurs.  Every run of
-   ``WINDOW`` n-grams of an item then keeps as seeds those about as rare as its rarest one (within a factor
-   of ``RARE``).  So no part of an item is without a seed, also where a test item has leaked into very many
-   documents, and common phrases are seeds only where an item has nothing rarer.
-3. A second pass finds the seeds in the documents.  Seeds of one item on nearby diagonals make a
-   candidate passage, which is aligned with the item by Smith-Waterman over words (match +2, mismatch
-   and gap -1).  A document and an item are reported when the alignment reaches ``LEAST`` of the item's
-   own score, which exact, edited and partly reordered copies do.
+2. Every word n-gram of an item is a seed, however often the documents hold it: in an edited copy any of them
+   may be all that is left.  An item that shares a seed with a document is dropped again only where the
+   alignment cannot reach ``least``: at least that share of the item's words has to stand in the document,
+   and in a stretch of it no longer than an alignment with so few gaps can be.
+3. Seeds of one item on nearby diagonals make a candidate passage, which is aligned with the item by
+   Smith-Waterman over words (match +2, mismatch and gap -1).  A document and an item are reported when the
+   alignment reaches ``LEAST`` of the item's own score, which exact, edited and partly reordered copies do.
+   A copy in which no three words in a row are left has no seed and is not seen.
 
 Words are runs of letters, digits and non-ASCII characters in lower case, so punctuation and line
 breaks do not matter.
@@ -33,27 +33,32 @@ from jobloom.llm.common import chunks, free_name, gram_hashes, text_of, word_has
 from jobloom.session import saved
 
 GRAM = 3
-WINDOW = 4
-RARE = 8
 LEAST = 0.5
 ITEM_WORDS = 8
 BLOCK_CHARS = 4_000_000   # of items sent to tasks at once
 CELLS = 1_000_000         # of the rows that one numpy call aligns
+HIT_ROWS = 1_000_000      # of seeds met in a document, handled at once
 MATCH, MISMATCH, GAP = 2, -1, -1
 HITS = "_key long, _item long, score double, first_word long, last_word long"
 
 
 @dataclass(frozen=True)
 class Block:
-    """The words and n-grams of some items."""
+    """The words of some items, and their n-grams as seeds, sorted by n-gram."""
 
     ids: list[int | None]
     words: list[np.ndarray]
-    grams: np.ndarray        # sorted n-gram hashes
+    grams: np.ndarray        # different n-gram hashes
+    first: np.ndarray        # row of the first place of each
+    item: np.ndarray         # rows: an item and a place in it
+    place: np.ndarray
+    vocabulary: np.ndarray   # different words
+    spelled: np.ndarray      # index in the vocabulary of each word of all items
+    begin: np.ndarray        # of each item in ``spelled``, and the end
 
     @staticmethod
     def of(items: list[tuple[int | None, str]]) -> Block:
-        ids, words, grams = [], [], [np.empty(0, np.uint64)]
+        ids, words = [], []
         for start, group in chunks([t for _, t in items]):
             w, own = word_hashes(group, "letters")
             cut = np.searchsorted(own, np.arange(1, len(group)))
@@ -61,30 +66,53 @@ class Block:
                 if len(part) >= ITEM_WORDS:
                     ids.append(items[start + i][0])
                     words.append(part)
-                    grams.append(_grams(part))
-        return Block(ids, words, np.unique(np.concatenate(grams)))
-
-
-def _grams(words: np.ndarray) -> np.ndarray:
-    return gram_hashes(words, np.zeros(len(words), np.int64), GRAM, 1, short=False)[0]
-
-
-def rare_seeds(block: Block, documents: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(n-gram, item, place) of the seeds, sorted by n-gram; ``documents`` counts those of each n-gram."""
-    gram, item, place = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for i, words in enumerate(block.words):
-        g = _grams(words)
-        often = documents[np.searchsorted(block.grams, g)]
-        width = min(WINDOW, len(g))
-        runs = np.lib.stride_tricks.sliding_window_view(often, width)
-        least = runs.min(axis=1)[:, None]
-        chosen = np.unique((np.arange(len(runs))[:, None] + np.arange(width))[runs <= RARE * least + RARE])
-        gram.append(g[chosen])
-        item.append(np.full(len(chosen), i))
-        place.append(chosen)
-    gram, item, place = map(np.concatenate, (gram, item, place))
-    order = np.argsort(gram, kind="stable")
-    return gram[order], item[order], place[order]
+        every = np.concatenate([np.empty(0, np.uint64), *words])
+        begin = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
+        gram, item, place = gram_hashes(every, np.repeat(np.arange(len(words)), np.diff(begin)), GRAM, len(words), short=False)
+        order = np.argsort(gram, kind="stable")
+        grams, first = np.unique(gram[order], return_index=True)
+        vocabulary, spelled = np.unique(every, return_inverse=True)
+        return Block(ids, words, grams, np.append(first, len(gram)), item[order], (place - begin[item])[order],
+                     vocabulary, spelled, begin)
+
+    def likely(self, candidates: np.ndarray, text: np.ndarray, least: float) -> np.ndarray:
+        """Those of the items whose words stand in the text to at least the share ``least``."""
+        has = np.zeros(len(self.vocabulary), dtype=bool)
+        met = _lookup(self.vocabulary, text)
+        has[met[met >= 0]] = True
+        length = np.diff(self.begin)[candidates]
+        start = np.cumsum(length) - length
+        at = np.arange(length.sum()) + np.repeat(self.begin[candidates] - start, length)
+        return candidates[np.add.reduceat(has[self.spelled[at]], start, dtype=np.int64) / length >= least]
+
+    def hits(self, grams: np.ndarray, at: np.ndarray, text: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(item, place, place in the text) of the seeds met in a text, ``HIT_ROWS`` or one item at a time.
+
+        ``grams``: indices of the n-grams met, ``at``: where.
+        """
+        order = np.argsort(grams, kind="stable")
+        at = at[order]
+        gram, begin, often = np.unique(grams[order], return_index=True, return_counts=True)
+        times = self.first[gram + 1] - self.first[gram]
+        row = np.arange(times.sum()) + np.repeat(self.first[gram] - (np.cumsum(times) - times), times)
+        begin, often = np.repeat(begin, times), np.repeat(often, times)
+        good = np.isin(self.item[row], self.likely(np.unique(self.item[row]), text, least))
+        row, begin, often = row[good], begin[good], often[good]
+        order = np.argsort(self.item[row], kind="stable")
+        row, begin, often = row[order], begin[order], often[order]
+        if not len(row):
+            return
+        ends = np.append(np.flatnonzero(np.diff(self.item[row])) + 1, len(row))   # of the items
+        total = np.cumsum(often)
+        done = 0
+        while done < len(row):
+            fits = np.searchsorted(total[ends - 1], (total[done - 1] if done else 0) + HIT_ROWS, side="right")
+            upto = ends[max(fits - 1, np.searchsorted(ends, done, side="right"))]
+            n = often[done:upto]
+            of = np.repeat(row[done:upto], n)
+            where = np.repeat(begin[done:upto] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            yield self.item[of], self.place[of], at[where]
+            done = upto
 
 
 def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +148,8 @@ def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     return scores, last
 
 
-def _passages(words: np.ndarray, found: tuple[np.ndarray, np.ndarray, np.ndarray], block: Block) -> Iterator[tuple[int, int, int]]:
+def _passages(words: np.ndarray, found: tuple[np.ndarray, np.ndarray, np.ndarray], block: Block,
+              least: float) -> Iterator[tuple[int, int, int]]:
     """(item, first, last + 1 word) of the passages of one document worth aligning.
 
     ``found``: item, place in the item and place in the document of each seed met.
@@ -128,18 +157,32 @@ def _passages(words: np.ndarray, found: tuple[np.ndarray, np.ndarray, np.ndarray
     item, place, at = found
     order = np.lexsort((at, at - place, item))
     item, place, at = item[order], place[order], at[order]
-    for i in np.unique(item):
-        mine = item == i
-        shift, here, there = (at - place)[mine], at[mine], place[mine]
+    for mine in np.split(np.arange(len(item)), np.flatnonzero(np.diff(item)) + 1):
+        i = int(item[mine[0]])
+        shift = (at - place)[mine]
         length = len(block.words[i])
-        seeds_needed = 2 if length >= 2 * ITEM_WORDS else 1
+        slack = max(4, length // 2)
         # passages whose begin differs by more than the item's length are apart
-        for part in np.split(np.arange(len(shift)), np.flatnonzero(np.diff(shift) > max(4, length // 2)) + 1):
-            if len(np.unique(there[part])) >= seeds_needed:
-                slack = max(4, length // 2)
-                low = max(0, int(shift[part].min()) - slack)
-                high = min(len(words), int(shift[part].max()) + length + slack)
-                yield int(i), low, high
+        for part in np.split(shift, np.flatnonzero(np.diff(shift) > slack) + 1):
+            low = max(0, int(part[0]) - slack)
+            high = min(len(words), int(part[-1]) + length + slack)
+            for a, b in _dense(words[low:high], block.words[i], least):
+                yield i, low + a, low + b
+
+
+def _dense(passage: np.ndarray, item: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """The parts of a passage in which an alignment can reach ``least``.
+
+    It matches that share of the item's words, and each gap takes 1 of the 2 a match gives, so the share left
+    bounds the gaps and with them the length of the stretch.
+    """
+    inside = np.isin(passage, item)
+    width = min(len(passage), len(item) + int(2 * (1 - least) * len(item)) + 1)
+    sums = np.concatenate([[0], np.cumsum(inside)])
+    good = np.flatnonzero((sums[width:] - sums[:-width]) / len(item) >= least)      # begins of such stretches
+    parts = np.split(good, np.flatnonzero(np.diff(good) > width) + 1) if len(good) else []
+    ranges = [(int(p[0]), int(p[-1]) + width) for p in parts]
+    return [(a, b) for a, b in ranges if np.isin(item, passage[a:b]).mean() >= least]
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id",
@@ -163,50 +206,25 @@ def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", ke
 
 def _block_hits(docs: DataFrame, block: Block, least: float) -> DataFrame:
     context = docs.sparkSession.sparkContext
-    shared = context.broadcast(block)     # at most BLOCK_CHARS of text
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(len(shared.value.grams), dtype=np.int64)
-        for pdf in batches:
-            for _, group in chunks(pdf["_text"].tolist()):
-                g, own, _ = gram_hashes(*word_hashes(group, "letters"), GRAM, len(group), short=False)
-                which = _lookup(shared.value.grams, g)
-                met = which >= 0
-                pairs = np.unique(own[met] * len(total) + which[met])
-                total += np.bincount(pairs % max(1, len(total)), minlength=len(total))
-        seen = np.flatnonzero(total)
-        yield pd.DataFrame({"gram": seen, "n": total[seen]})
-
-    documents = np.zeros(len(block.grams), dtype=np.int64)
-    if len(block.grams):
-        for r in docs.mapInPandas(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
-            documents[r["gram"]] = r["n"]  # at most one number for each n-gram of the block
-    seeds = context.broadcast(rare_seeds(block, documents))
+    shared = context.broadcast(block)     # of at most BLOCK_CHARS of text
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        items, (gram, item, place) = shared.value, seeds.value
-        distinct, first = np.unique(gram, return_index=True)
-        times = np.diff(np.append(first, len(gram)))
+        items = shared.value
         for pdf in batches:
             keys, jobs, where = pdf["_key"].tolist(), [], []
             for start, group in chunks(pdf["_text"].tolist()):
                 words, owner = word_hashes(group, "letters")
                 g, own, at = gram_hashes(words, owner, GRAM, len(group), short=False)
-                which = _lookup(distinct, g)
+                which = _lookup(items.grams, g)
                 met = np.flatnonzero(which >= 0)
-                if not len(met):
-                    continue
-                # one row for each place of the seed in an item
-                n = times[which[met]]
-                of = np.repeat(first[which[met]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                own_hit, at_hit = np.repeat(own[met], n), np.repeat(at[met], n)
                 begin = np.searchsorted(owner, np.arange(len(group) + 1))
-                for d in np.unique(own_hit):
-                    mine = own_hit == d
+                for mine in np.split(met, np.flatnonzero(np.diff(own[met])) + 1) if len(met) else []:
+                    d = int(own[mine[0]])
                     text_words = words[begin[d]: begin[d + 1]]
-                    for i, low, high in _passages(text_words, (item[of[mine]], place[of[mine]], at_hit[mine] - begin[d]), items):
-                        jobs.append((items.words[i], text_words[low:high]))
-                        where.append((keys[start + int(d)], i, low))
+                    for found in items.hits(which[mine], at[mine] - begin[d], text_words, least):
+                        for i, low, high in _passages(text_words, found, items, least):
+                            jobs.append((items.words[i], text_words[low:high]))
+                            where.append((keys[start + d], i, low))
             score, last = align(jobs)
             share = score / np.array([MATCH * len(a) for a, _ in jobs] or [1])
             good = np.flatnonzero(share >= least).tolist() if jobs else []

@@ -189,6 +189,44 @@ def test_contamination_in_blocks_is_the_same(spark, sf, monkeypatch):
     assert whole and {tuple(r)[:2] for r in pieces} == {w[:2] for w in whole}
 
 
+@pytest.mark.parametrize("copies", [1, 20, 2000])
+def test_contamination_finds_edited_copies_however_many(spark, copies):
+    item = [f"q{i}" for i in range(40)]
+    made = []
+    for n in range(copies):
+        for step in (4, 5, 6):
+            body = [f"x{n}" if i % step == step - 1 else w for i, w in enumerate(item)]
+            made.append((10 * n + step, " ".join([f"a{n}"] * 30 + body + [f"b{n}"] * 30)))
+        made.append((10 * n, " ".join([f"c{n}"] * 20 + item[:15] + [f"c{n}"] * 20)))     # too little of the item
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    got = decontaminate.find_contamination(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert {r._key for r in got} == {d for d, _ in made if d % 10}
+    assert {(r._key % 10, round(r.score, 4)) for r in got} == {(4, 0.6375), (5, 0.7125), (6, 0.775)}
+
+
+def test_contamination_equals_aligning_every_pair(spark, monkeypatch):
+    """Every pair that shares three words in a row and aligns well is found, and no other."""
+    rng, words = random.Random(11), [f"w{i}" for i in range(40)]
+    items = [(n, [rng.choice(words) for _ in range(rng.randint(8, 40))]) for n in range(25)]
+    docs = []
+    for n in range(120):
+        body = [w for w in rng.choice(items)[1] for w in ([] if rng.random() < 0.1 else [w] if rng.random() < 0.8 else ["no", w])]
+        docs.append((n, rng.choices(words, k=rng.randint(0, 150)) + body + rng.choices(words, k=rng.randint(0, 150))))
+    number = {w: np.uint64(i) for i, w in enumerate([*words, "no"])}
+    hashed = [[(k, np.array([number[w] for w in ws], np.uint64)) for k, ws in table] for table in (docs, items)]
+    triples = lambda ws: set(zip(ws, ws[1:], ws[2:]))
+    want = set()
+    for (d, text), (_, dw) in zip(hashed[0], docs):
+        score = decontaminate.align([(item, text) for _, item in hashed[1]])[0]
+        want |= {(d, i) for (i, item), (_, iw), s in zip(hashed[1], items, score)
+                 if s >= decontaminate.LEAST * decontaminate.MATCH * len(item) and triples(dw) & triples(iw)}
+    frame = lambda table, key: spark.createDataFrame([(k, " ".join(ws)) for k, ws in table], f"{key} long, text string")
+    for rows in (decontaminate.HIT_ROWS, 5):
+        monkeypatch.setattr(decontaminate, "HIT_ROWS", rows)
+        got = {(r._key, r._item) for r in decontaminate.find_contamination(frame(docs, "doc_id"), frame(items, "item_id")).collect()}
+        assert got == want
+
+
 def test_toxicity_on_held_out_labels(spark):
     """Learns what marks one class, from labels outside the fold only."""
     rng = random.Random(8)
