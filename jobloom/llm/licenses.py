@@ -2,8 +2,8 @@
 
 Rules are regular expressions in three ranks: 1 declares a license (an SPDX tag, "licensed under"), 2
 names it in full, 3 mentions it.  They are written as a few forms over a list of license families, so
-there are some hundreds of them.  A text first shows which keywords it contains; only the rules of
-those keywords run on it.  Every match is an interval.  Detections are put in order of start, longer
+there are some hundreds of them.  A text first shows which keywords it contains, whatever white space, punctuation
+or comment marks stand between their words; only the rules of those keywords run on it.  Every match is an interval.  Detections are put in order of start, longer
 first, then rank and rule; one is suppressed if an earlier one of the same or a better rank contains
 it, so of equal intervals the better rank and the earlier rule stays.
 
@@ -16,9 +16,10 @@ replaced.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,7 +81,8 @@ FAMILIES: dict[str, tuple[str, str, str, tuple[str, ...]]] = {
     "x11": ("x11", r"x11 licen[cs]e", "x11", ()),
     "ecl": ("educational community", r"educational community licen[cs]e", "ecl", ("1.0", "2.0")),
     "lppl": ("latex project", r"latex project public licen[cs]e", "lppl", ("1.0", "1.2", "1.3")),
-    "cc0": ("cc0", r"cc0|creative commons zero", "cc0", ("1.0",)),
+    "cc0": ("cc0", r"cc0", "cc0", ("1.0",)),
+    "cc0-long": ("creative commons", r"creative commons zero", "cc0", ("1.0",)),
 }
 #: Creative Commons kinds: each as a short form and as a long name
 COMMONS = {
@@ -97,7 +99,8 @@ GATE = ("licen", "spdx", "gpl", "bsd", "cc by", "cc-by", "cc0", "creative", "unl
 _GAP = r"[\s,;:()*#/]+"
 _DECLARES = (r"(?:licensed|released|distributed|available|published|provided)" + _GAP + r"(?:under|on)" + _GAP
              + r"(?:the" + _GAP + r")?(?:terms" + _GAP + r"of" + _GAP + r")?(?:the" + _GAP + r")?(?:conditions" + _GAP + r"of" + _GAP + r")?")
-_VERSION = r"[\s,;:()-]*(?:version|ver\.?|v)?[\s.]*"
+_WRAP = r"(?:[\r\n][\s*#/]*)?"       # a line break and the comment mark of the next line
+_VERSION = r"[\s,;:()-]*" + _WRAP + r"(?:version|ver\.?|v)?[\s.]*" + _WRAP
 
 
 @dataclass(frozen=True)
@@ -128,20 +131,27 @@ def rules() -> list[Rule]:
         out.append(Rule(keyword, 1, stem, _DECLARES + full))
         out.append(Rule(keyword, 3, stem, full))
     for kind, name in COMMONS.items():
-        short = r"\bcc[ -]" + kind.replace("-", r"[\s-]") + r"\b(?![\s-](?:sa|nc|nd)\b)"
+        short = r"\bcc(?:-|\s[\s*#/]*)" + kind.replace("-", r"[\s-]") + r"\b(?![\s-](?:sa|nc|nd)\b)"
         long = _spaced("creative commons " + name)
         for v in COMMONS_VERSIONS:
             digits = v.replace(".", r"\.")
-            out.append(Rule("cc", 2, f"cc-{kind}-{v}", short + r"[\s-]*(?:v\s?)?" + digits))
-            out.append(Rule("creative commons", 2, f"cc-{kind}-{v}", long + r"[\s,-]*(?:v\s?|version\s)?" + digits))
+            out.append(Rule("cc", 2, f"cc-{kind}-{v}", short + r"[\s-]*" + _WRAP + r"(?:v\s?)?" + digits))
+            out.append(Rule("creative commons", 2, f"cc-{kind}-{v}", long + r"[\s,-]*" + _WRAP + r"(?:v\s?|version\s*)?" + _WRAP + digits))
             out.append(Rule("creativecommons.org", 1, f"cc-{kind}-{v}", rf"creativecommons\.org/licenses/{kind}/{digits}"))
         out.append(Rule("cc", 3, f"cc-{kind}", short))
         out.append(Rule("creative commons", 3, f"cc-{kind}", long))
-    out.append(Rule("public domain", 3, "public-domain", r"\b(?:dedicated to|released into|in) the public domain\b"))
-    out.append(Rule("all rights reserved", 3, "proprietary", r"\ball rights reserved\b"))
+    out.append(Rule("public domain", 3, "public-domain", _spaced("(?:dedicated to|released into|in) the public domain")))
+    out.append(Rule("all rights reserved", 3, "proprietary", _spaced("all rights reserved")))
     return out
 
 
+def _holds(low: Column, phrase: str) -> Column:
+    """Whether the words of the phrase stand in a row, with anything between them that a pattern lets be there."""
+    words = phrase.split(" ")
+    each = reduce(and_, [F.contains(low, F.lit(w)) for w in words])
+    return each & F.rlike(low, F.lit(_GAP.replace("[", "[-").join(map(re.escape, words)))) if len(words) > 1 else each
+
+
 def _matches(low: Column, rule: Column) -> Column:
     """Intervals of a rule's matches.  The pieces between matches give their places."""
     found = F.regexp_extract_all(low, rule["pattern"], F.lit(0))
@@ -189,12 +199,12 @@ def scan_licenses(df: DataFrame, text: str = "text") -> DataFrame:
     low, words, hits, det = (free_name(df, n) for n in ("_low", "_words", "_hits", "_found"))
     keywords = sorted({r.keyword for r in rules()})
     contains = lambda k: F.contains(F.col(low), F.lit(k))
-    gate = reduce(or_, map(contains, GATE))
+    gate = reduce(or_, [_holds(F.col(low), g) for g in GATE])
     # the rarest word of each phrase; "cc by" may have anything between its words
     base_gate = contains("license") | (contains("cc") & contains("by") & F.rlike(F.col(low), F.lit("cc[^a-z0-9]+by")))
     out = df.withColumn(low, lower_ascii(text_of(text)))
-    out = out.withColumn(hits, F.when(gate, F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains(F.col(low), k)))
-                         .otherwise(F.array().cast("array<string>")))
+    held = F.array_compact(F.array(*[F.when(_holds(F.col(low), k), F.lit(k)) for k in keywords]))
+    out = out.withColumn(hits, F.when(gate, held).otherwise(F.array().cast("array<string>")))
     out = out.withColumn(det, F.when(F.size(hits) > 0, detections(F.col(low), F.col(hits))))
     # words between single blanks, with one at either end; only for texts that may hold a phrase
     out = out.withColumn(words, F.when(base_gate, F.concat(F.lit(" "), F.trim(F.regexp_replace(low, GAP, " ")), F.lit(" "))))

@@ -307,6 +307,33 @@ def test_license_rules_are_gated_safely():
     assert names
 
 
+def test_license_rules_match_wrapped_text(spark):
+    """Every license reads the same where lines break, blanks double or comment marks stand between its words."""
+    def plain(pattern):
+        one = re.sub(r"\(\?:([^()|]*)[^()]*\)", r"\1", re.sub(r"\(\?:[^()]*\)\?", "", pattern)).split("|")[0]
+        return re.sub(r".\?", "", one.replace("[cs]", "s").replace("[ -]", " "))
+
+    names = [(plain(name), stem, versions) for _, name, stem, versions in licenses.FAMILIES.values()]
+    names += [("creative commons zero", "cc0", ("1.0",))]
+    names += [(f"creative commons {plain(name)}", f"cc-{kind}", licenses.COMMONS_VERSIONS) for kind, name in licenses.COMMONS.items()]
+    names += [(f"cc {kind}", f"cc-{kind}", licenses.COMMONS_VERSIONS) for kind in licenses.COMMONS]
+    cases = [("this is in the public domain now", "public-domain"), ("copyright me all rights reserved", "proprietary")]
+    for name, stem, versions in names:
+        cases += [(f"see the {name} here", stem)]
+        for v in versions[-1:]:
+            version = v if stem.startswith("cc-") and name.startswith("cc") else f"version {v}"
+            cases += [(f"see the {name} {version}", f"{stem}-{v}"), (f"licensed under the terms of the {name} {version}", f"{stem}-{v}")]
+    forms = (" ", "  ", "\n", "\r\n * ")
+    rows = [(n, k, text.replace(" ", form)) for n, (text, _) in enumerate(cases) for k, form in enumerate(forms)]
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "n int, k int, text string").repartition(8)).collect()
+    read = {(r.n, r.k): (r.labels, r.score) for r in got}
+    assert len(read) == len(rows)
+    for n, (text, label) in enumerate(cases):
+        assert label in read[n, 0][0].split(","), (text, read[n, 0])
+        for k, form in enumerate(forms):
+            assert read[n, k] == read[n, 0], (text, form, read[n, k], read[n, 0])
+
+
 def test_exact_groups(spark):
     rows = [(1, "a b"), (2, "ab "), (3, "a\tb  "), (4, "x"), (5, None), (6, " "), (9, "a b"), (None, "x")]
     got = {r.doc_id: r for r in exact.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
