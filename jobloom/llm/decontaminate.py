@@ -247,8 +247,9 @@ def _lookup(table: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def decontaminate(df: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", **named: object) -> DataFrame:
-    """The rows of ``df`` that match no item.  Rows without an id cannot be named and are judged together."""
-    name = free_name(df, "_hit")
-    hits = saved(find_contamination(df, items, text, key, **named).select(F.col("_key").alias(name)).distinct())
+    """The rows of ``df`` that match no item.  A row is judged by its own text, whatever id it has or shares."""
+    print_, name = free_name(df, "_print"), free_name(df, "_hit")
+    rows = df.withColumn(print_, F.xxhash64(text_of(text)))
+    hits = saved(find_contamination(rows, items, text, print_, **named).select(F.col("_key").alias(name)).distinct())
     small = F.broadcast(hits) if hits.count() <= 1_000_000 else hits
-    return df.join(small, F.col(key).cast("long").eqNullSafe(F.col(name)), "left_anti")
+    return rows.join(small, F.col(print_) == F.col(name), "left_anti").drop(print_)

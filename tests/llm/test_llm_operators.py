@@ -181,6 +181,15 @@ def test_contamination_finds_copies_and_edited_copies_only(spark, sf):
     assert not [k for k, _ in found if k >= 10_000]
 
 
+def test_decontaminate_judges_each_row_by_its_text(spark):
+    item = "the cat sat on the mat and the dog lay down by"
+    rows = [(None, item), (None, "clean"), (None, None), (7, f"oh {item}"), (7, "clean too"), (8, "clean")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = decontaminate.decontaminate(docs, bench(spark))
+    assert left.columns == ["doc_id", "text"]
+    assert {tuple(r) for r in left.collect()} == {(None, "clean"), (None, None), (7, "clean too"), (8, "clean")}
+
+
 def test_contamination_in_blocks_is_the_same(spark, sf, monkeypatch):
     docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     whole = {tuple(r) for r in decontaminate.find_contamination(docs, items).collect()}
