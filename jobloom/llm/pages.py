@@ -5,14 +5,17 @@ id; below it the pages differ in how they present it (the sequence of its childr
 (the text of its blocks).  A node that all pages present alike, or that says the same on all of them, is
 furniture of the site; one that differs from page to page is content:
 
-* presentation importance: the entropy of the child sequences over the pages that have the node, with
-  the number of these pages as the base, so it is between 0 (all alike) and 1 (all different);
-* content importance: the same entropy of the block texts;
+* presentation importance: the share of the child sequences, each counted once a page, that are not the same on
+  nearly all pages that have the node (all but ``IMPORTANCE``), so it is between 0 (all alike) and 1;
+* content importance: the same share of the block texts;
 * importance of a node: the larger of the two; of a branch, that of its best node.
 
+These shares do not depend on how many pages a host has.
+
 The tree is a table with one row per host, node and feature, counted by a grouped aggregation; a page
 gets back the importance of its own nodes only.  A branch goes when its importance is below
-``IMPORTANCE`` on a host with at least ``PAGES`` different pages.  Two kinds of evidence need no other page: what
+``IMPORTANCE`` and at least ``PAGES`` different pages have it, but not inside what the page marks as article or
+main, nor where a block beside it is important, as a heading's are.  Two kinds of evidence need no other page: what
 an element is by its tag, role or class (menus, adverts, forms, comments, ...), and where the page says
 its article is.
 
@@ -39,7 +42,8 @@ from jobloom.session import saved
 
 IMPORTANCE = 0.2
 BROADCAST_BYTES = 16_000_000   # of the low nodes of all hosts, sent to all tasks up to that size
-PAGES = 8            # of a host before its tree decides anything
+PAGES = 8            # that have a node before it decides anything
+SHAPE, TEXT, PAGE = range(3)   # kinds of features: child sequence, block text, that a page has the node
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style noscript template head title svg math iframe object canvas audio video".split())
@@ -202,16 +206,17 @@ def blocks_of(node: Node, skip) -> list[tuple[Node, str]]:
     return out
 
 
-def style_features(html: str) -> Iterator[tuple[str, str, str]]:
+def style_features(html: str) -> Iterator[tuple[str, int, str]]:
     """(path, kind, hash of the feature) of each style node of a page, once per path and feature."""
     root = parse(html)
     seen = set()
     for node in walk(root):
         if node.path and node.tag in BLOCKS:
             shape = " ".join(c.tag for c in node.children if isinstance(c, Node))
-            seen.add((node.path, "shape", shape))
+            seen.add((node.path, SHAPE, shape))
     for owner, text in blocks_of(root, lambda n: False):
-        seen.add((owner.path, "text", text))
+        seen.add((owner.path, TEXT, text))
+    seen |= {(p, PAGE, "") for p, _, _ in seen}
     return ((p, k, digest(v)) for p, k, v in sorted(seen))
 
 
@@ -225,8 +230,13 @@ def main_blocks(html: str, importance: dict[str, float]) -> list[str]:
         own = importance.get(node.path, 1.0) if node.tag in BLOCKS else 0.0
         best[id(node)] = max([own, *(best[id(c)] for c in node.children if isinstance(c, Node))])
 
+    # elements of which a block of text itself is important: what is beside it belongs to it
+    telling = {id(n.parent) for n in order if n.path and n.tag in BLOCKS and n.parent is not None and n.parent.path and best[id(n)] >= IMPORTANCE
+               and not n.furniture and not any(isinstance(c, Node) and c.tag in BLOCKS for c in n.children)}
+
     def low(node: Node) -> bool:
-        return node.tag in BLOCKS and best[id(node)] < IMPORTANCE
+        return node.tag in BLOCKS and best[id(node)] < IMPORTANCE and not node.article and not _inside_article(node) \
+            and id(node.parent) not in telling
 
     def skip(node: Node) -> bool:
         # a heading group inside an article belongs to it
@@ -262,18 +272,24 @@ def style_tree(pages: DataFrame, html: str = "html", url: str = "url") -> DataFr
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [(h, number(p), k == "text", number(v), c) for h, page, c in zip(pdf["host"], pdf["html"], pdf["print"])
+            found = [(h, number(p), k, number(v), c) for h, page, c in zip(pdf["host"], pdf["html"], pdf["print"])
                      for p, k, v in style_features(page)]
             yield pd.DataFrame(found, columns=["host", "path", "kind", "feature", "print"])
 
     # copies of a page say nothing about what differs between pages: each different page counts once
-    counted = rows.mapInPandas(features, "host long, path long, kind boolean, feature long, print long") \
+    counted = rows.mapInPandas(features, "host long, path long, kind int, feature long, print long") \
         .groupBy("host", "path", "kind", "feature").agg(F.count_distinct("print").alias("count"))
-    # entropy of the features over their occurrences m: log m - sum(c log c) / m
-    spread = counted.groupBy("host", "path", "kind").agg(
-        F.sum("count").alias("m"), F.sum(F.col("count") * F.log("count")).alias("clogc"))
-    entropy = (F.log("m") - F.col("clogc") / F.col("m")) / F.log("m")
-    return spread.where(F.col("m") >= PAGES).groupBy("host", "path").agg(F.max(entropy).alias("importance"))
+    # how many features are on how many pages: at most about the root of their number for a node
+    spread = counted.groupBy("host", "path", "kind", "count").agg(F.count("*").alias("n")) \
+        .groupBy("host", "path").agg(F.collect_list(F.struct("kind", "count", "n")).alias("rows")) \
+        .withColumn("having", F.array_max(F.transform(F.filter("rows", lambda r: r["kind"] == PAGE), lambda r: r["count"])))
+
+    def share(kind: int) -> Column:
+        total = lambda rows: F.aggregate(rows, F.lit(0).cast("long"), lambda acc, r: acc + r["count"] * r["n"])
+        mine = F.filter("rows", lambda r: r["kind"] == kind)
+        return F.coalesce(F.try_divide(total(F.filter(mine, lambda r: r["count"] < (1 - IMPORTANCE) * F.col("having"))), total(mine)), F.lit(0.0))
+
+    return spread.where(F.col("having") >= PAGES).select("host", "path", F.greatest(share(SHAPE), share(TEXT)).alias("importance"))
 
 
 def extract_main_text(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:

@@ -543,6 +543,16 @@ def test_style_tree_removes_what_a_site_repeats(spark):
     assert text[100].startswith("Welcome")        # one page shows nothing about its host
 
 
+@pytest.mark.parametrize("n", [40, 1500])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_headings_stay_on_hosts_of_every_size(spark, n, tag):
+    heads = ["Background", "Method", "Results", "Conclusion"]
+    page = "<html><body><ul class='k1'><li>Home</li><li>About us</li></ul><{1} class='k2'><h2>{2}</h2><p>story {0}</p><h2>Notes</h2><p>told {0}</p></{1}></body></html>"
+    rows = [(i, f"https://h.example/{i}", page.format(i, tag, heads[i % 4])) for i in range(n)]
+    text = {r.page_id: r.text for r in pages.extract_main_text(spark.createDataFrame(rows, PAGES).repartition(4)).collect()}
+    assert text == {i: f"{heads[i % 4]}\nstory {i}\nNotes\ntold {i}" for i in range(n)}
+
+
 def test_copies_of_a_page_are_not_furniture(spark):
     rows = [(i, "https://h.example/", PAGE) for i in range(20)]
     assert {r.text for r in pages.extract_main_text(spark.createDataFrame(rows, PAGES)).collect()} == {
