@@ -66,6 +66,8 @@ FURNITURE_NAME = re.compile(
     r"nav|navbar|navigation|menu|breadcrumbs?|topbar|toolbar|header|footer|masthead|site-?(?:header|footer|nav)|comments?|respond|"
     r"replies|disqus|pagination|pager|copyright|legal|disclaimer|skip-?link|search)(?:$|[\s_-]|\d)", re.I)
 CONTENT_NAME = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|main)(?:[\s_-]?(?:body|content|text))?(?:$|[\s_-])", re.I)
+#: elements that no class or id makes furniture
+NOT_BY_NAME = frozenset("article main h1 h2 h3 h4 h5 h6".split())
 BLANKS = re.compile(r"\s+")
 
 
@@ -114,12 +116,20 @@ class PageTree(HTMLParser):
         role = given.get("role", "").lower()
         hidden = "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "").lower()
         is_article = tag in ("article", "main") or role in ("article", "main") or given.get("itemprop") == "articleBody"
-        furniture = tag in FURNITURE or role in FURNITURE_ROLES or hidden or bool(
-            names and tag not in ("article", "main") and FURNITURE_NAME.search(names))
+        furniture = tag in FURNITURE or role in FURNITURE_ROLES or hidden or self._named_furniture(tag, given.get("class", ""), names)
         node = Node(tag, digest(f"{self.top.path}/{tag} {names}"), names, furniture, self.top, is_article)
         self.top.children.append(node)
         self.top = node
 
+    def _named_furniture(self, tag: str, classes: str, names: str) -> bool:
+        """Whether a container's class or id tells.  Within content ids are anchors, and in an article only whole classes count."""
+        if not names or tag in NOT_BY_NAME:
+            return False
+        above = list(_ancestors(self.top))
+        if any(n.article and n.tag != "main" for n in above):
+            return any(FURNITURE_NAME.fullmatch(c) for c in classes.split())
+        return bool(FURNITURE_NAME.search(classes if any(n.article or _named_content(n) for n in above) else names))
+
     def _close_for(self, tag: str) -> None:
         if tag in ENDS_P:
             self._close({"p"}, {"table", "td", "th", "button", "li", "article", "section", "div", "blockquote"})
@@ -244,16 +254,24 @@ def main_blocks(html: str, importance: dict[str, float]) -> list[str]:
         return (node.furniture and not kept) or low(node)
 
     articles = [n for n in order if n.article and not any(_above(n, lambda a: a.article or skip(a)))]
-    places = articles or [n for n in order if n.tag in ("div", "section") and CONTENT_NAME.search(n.name) and not any(_above(n, skip)) and not skip(n)][:1] or [root]
+    places = articles or [n for n in order if _named_content(n) and not skip(n) and not any(_above(n, lambda a: _named_content(a) or skip(a)))] or [root]
     found = [text for place in places for _, text in blocks_of(place, skip)]
     return found if found or not importance else main_blocks(html, {})   # pages of a host that are all alike
 
 
+def _ancestors(node: Node | None) -> Iterator[Node]:
+    """The node and those above it, without the root."""
+    while node is not None and node.parent is not None:
+        yield node
+        node = node.parent
+
+
 def _above(node: Node, test) -> Iterator[bool]:
-    n = node.parent
-    while n is not None and n.parent is not None:
-        yield test(n)
-        n = n.parent
+    return map(test, _ancestors(node.parent))
+
+
+def _named_content(node: Node) -> bool:
+    return node.tag in ("div", "section") and bool(CONTENT_NAME.search(node.name))
 
 
 def _inside_article(node: Node) -> bool:

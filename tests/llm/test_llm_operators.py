@@ -553,6 +553,19 @@ def test_headings_stay_on_hosts_of_every_size(spark, n, tag):
     assert text == {i: f"{heads[i % 4]}\nstory {i}\nNotes\ntold {i}" for i in range(n)}
 
 
+@pytest.mark.parametrize("html, want", [
+    ("<div class=content>one</div><div class=advert>buy</div><div class=content>two</div>", "one\ntwo"),
+    ("<div class=post><div class=entry>a</div></div><div class=post>b</div><div>c</div>", "a\nb"),
+    ("<div class=entry>teaser</div><div class='content'><p>body</p></div>", "teaser\nbody"),
+    ("<article><h1 class=entry-header>T</h1><h2 id=related-work>R</h2><section id=social-impact>S</section>"
+     "<div id=legal-basis>L</div><div class=share>no</div></article>", "T\nR\nS\nL"),
+    ("<div class=content><h2 id=related-work>R</h2><section id=social-impact>S</section><div class=share-box>no</div></div>", "R\nS"),
+    ("<div id=sidebar>no</div><h1 class=site-header>T</h1><p>text</p>", "T\ntext"),
+])
+def test_all_content_branches_and_slugs_stay(html, want):
+    assert "\n".join(pages.main_blocks(f"<html><body>{html}</body></html>", {})) == want
+
+
 def test_copies_of_a_page_are_not_furniture(spark):
     rows = [(i, "https://h.example/", PAGE) for i in range(20)]
     assert {r.text for r in pages.extract_main_text(spark.createDataFrame(rows, PAGES)).collect()} == {
