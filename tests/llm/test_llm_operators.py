@@ -199,18 +199,14 @@ def test_contamination_in_blocks_is_the_same(spark, sf, monkeypatch):
 
 
 @pytest.mark.parametrize("copies", [1, 20, 2000])
-def test_contamination_finds_edited_copies_however_many(spark, copies):
+@pytest.mark.parametrize("step, score", [(4, 0.6375), (5, 0.7125), (6, 0.775)])
+def test_contamination_finds_edited_copies_however_many(spark, copies, step, score):
     item = [f"q{i}" for i in range(40)]
-    made = []
-    for n in range(copies):
-        for step in (4, 5, 6):
-            body = [f"x{n}" if i % step == step - 1 else w for i, w in enumerate(item)]
-            made.append((10 * n + step, " ".join([f"a{n}"] * 30 + body + [f"b{n}"] * 30)))
-        made.append((10 * n, " ".join([f"c{n}"] * 20 + item[:15] + [f"c{n}"] * 20)))     # too little of the item
+    made = [(n, " ".join([f"a{n}"] * 30 + [f"x{n}" if i % step == step - 1 else w for i, w in enumerate(item)] + [f"b{n}"] * 30))
+            for n in range(copies)]
     docs = spark.createDataFrame(made, "doc_id long, text string")
     got = decontaminate.find_contamination(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
-    assert {r._key for r in got} == {d for d, _ in made if d % 10}
-    assert {(r._key % 10, round(r.score, 4)) for r in got} == {(4, 0.6375), (5, 0.7125), (6, 0.775)}
+    assert {(r._key, round(r.score, 4)) for r in got} == {(n, score) for n in range(copies)}
 
 
 def test_contamination_equals_aligning_every_pair(spark, monkeypatch):
