@@ -132,7 +132,11 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.text_after_label(raw).alias("working_time"))
 
 
-@query("join_nonempty", r"""SELECT conv_id, turn, array_to_string(list_filter(list_transform(string_split(text, '.'), lambda x: trim(x)), lambda x: x <> ''), ' • ') AS joined FROM conversations""")
+SQL_WHITE_SPACE = " || ".join(f"chr({ord(c)})" for c in X.WHITE_SPACE)
+
+
+@query("join_nonempty", f"""SELECT conv_id, turn, array_to_string(list_filter(list_transform(string_split(text, '.'),
+  lambda x: trim(x, {SQL_WHITE_SPACE})), lambda x: x <> ''), ' • ') AS joined FROM conversations""")
 def _(spark, sf):
     return table(spark, sf, "conversations").select(
         "conv_id", "turn", X.join_nonempty(F.split("text", r"\."), " • ").alias("joined"))
