@@ -15,6 +15,7 @@ from jobloom.llm.licenses import scan_licenses
 from jobloom.llm.lm import fit, score_documents
 from jobloom.llm.mixing import plan_mix
 from jobloom.llm.near import near_classes
+from jobloom.llm.negatives import mine_negatives
 from jobloom.llm.pages import extract_main_text
 from jobloom.llm.passages import remove_repeats
 from jobloom.llm.tokens import token_counts
@@ -93,8 +94,39 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan_mix(docs).select("doc_id", "size", "source_size", "target", "taken", "shards")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_negatives(rows, F.col("_key") % 100 == 0, label=moved)
+
+
+OP11_SQL = """
+WITH usable AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, CAST(embedding AS DOUBLE[]) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+numbered AS (SELECT vec_id, label, list_transform(v, lambda x: floor(256 * x)) AS v,
+  row_number() OVER (PARTITION BY vec_id ORDER BY label, v) AS copy FROM usable),
+scores AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
+    CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM numbered a JOIN numbered b ON a.vec_id <> b.vec_id
+  WHERE a.copy = 1 AND b.copy = 1 AND a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5),
+ranked AS (
+  SELECT p.*, s.other AS negative_id, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.other) AS rank
+  FROM positives p JOIN scores s ON s.anchor_id = p.anchor_id AND NOT s.same
+    AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM ranked WHERE rank <= 10
+"""
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (op1_token_counts, op2_near_dedup, op3_decontamination, op4_toxicity, op5_main_text, op6_license_scan, op7_exact_dedup,
-                              op8_lm_scores, op9_repeated_passages, op10_source_mix)
+                              op8_lm_scores, op9_repeated_passages, op10_source_mix, op11_hard_negatives)
 }
-SQL: dict[str, str] = {"op7_exact_dedup": OP7_SQL}
+SQL: dict[str, str] = {"op7_exact_dedup": OP7_SQL, "op11_hard_negatives": OP11_SQL}
