@@ -18,6 +18,7 @@ from jobloom.llm.near import near_classes
 from jobloom.llm.negatives import mine_negatives
 from jobloom.llm.pages import extract_main_text
 from jobloom.llm.passages import remove_repeats
+from jobloom.llm.runs import find_runs, repeated, words_in
 from jobloom.llm.tokens import token_counts
 from jobloom.llm.toxicity import held_out, score_toxicity, train
 
@@ -125,8 +126,22 @@ FROM ranked WHERE rank <= 10
 """
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    n, g = words_in(F.col("text")), F.floor(h / 10)
+    first = g % n
+    planted = repeated(F.col("text"), first, 1 + F.floor((n - first) / (3 + g % 8)))
+    found = find_runs(docs, F.when((h % 10 == 0) & (n > 0), planted).otherwise(F.col("text")))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.select(
+        F.col("_key").alias("doc_id"), "n_runs", "start", "length", "period",
+        F.floor(1000 * F.col("length") / F.col("period")).alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (op1_token_counts, op2_near_dedup, op3_decontamination, op4_toxicity, op5_main_text, op6_license_scan, op7_exact_dedup,
-                              op8_lm_scores, op9_repeated_passages, op10_source_mix, op11_hard_negatives)
+                              op8_lm_scores, op9_repeated_passages, op10_source_mix, op11_hard_negatives, op13_periodic_runs)
 }
 SQL: dict[str, str] = {"op7_exact_dedup": OP7_SQL, "op11_hard_negatives": OP11_SQL}
