@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobloom.llm import ann
 from jobloom.llm.common import table
 from jobloom.llm.decontaminate import find_contamination
 from jobloom.llm.exact import exact_dedup
@@ -126,6 +127,11 @@ FROM ranked WHERE rank <= 10
 """
 
 
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.neighbours(ann.build(rows), rows.where("vec_id % 100 = 0"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     h = F.crc32(F.col("doc_id").cast("string"))
@@ -142,6 +148,6 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (op1_token_counts, op2_near_dedup, op3_decontamination, op4_toxicity, op5_main_text, op6_license_scan, op7_exact_dedup,
-                              op8_lm_scores, op9_repeated_passages, op10_source_mix, op11_hard_negatives, op13_periodic_runs)
+                              op8_lm_scores, op9_repeated_passages, op10_source_mix, op11_hard_negatives, op12_nearest_neighbours, op13_periodic_runs)
 }
 SQL: dict[str, str] = {"op7_exact_dedup": OP7_SQL, "op11_hard_negatives": OP11_SQL}

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from jobloom.llm import negatives, queries
+from jobloom.llm import ann, negatives, queries
 
 VECTORS = "vec_id long, embedding array<float>, label int"
 
@@ -105,3 +105,75 @@ def test_negatives_query(spark, sf):
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{sf}/embeddings.parquet')")
     want = con.execute(queries.SQL["op11_hard_negatives"]).fetchall()
     assert sorted(tuple(r) for r in queries.op11_hard_negatives(spark, sf).collect()) == sorted(want)
+
+
+# ---- nearest neighbours -----------------------------------------------------------------
+
+def plain_neighbours(rows, wanted, k=10):
+    table = {i: np.array(v) for i, (_, v) in kept_rows([(i, v, 0) for i, v, _ in rows], lambda i, c: 0).items() if any(v)}
+    out = {}
+    for q in table:
+        if wanted(q):
+            d = sorted((float(np.sqrt(((table[q] - v) ** 2).sum())), i) for i, v in table.items() if i != q)
+            out[q] = d[:k]
+    return out
+
+
+def found_neighbours(df, wanted, **kw):
+    out = {}
+    for r in sorted(ann.neighbours(ann.build(df), df.where(wanted), **kw).collect()):
+        out.setdefault(r.query_id, []).append((r.score, r.vec_id))
+        assert r["rank"] == len(out[r.query_id])
+    return out
+
+
+def test_neighbours_equal_brute_force(spark):
+    """So few rows that the search sees all of them: equal vectors, ties, repeated rows, rows that take no part.
+
+    Not the row so far out that its distances to all others agree in every digit.
+    """
+    rows = [r for r in awkward_rows() if r[0] != 700]
+    want = plain_neighbours(rows, lambda i: i % 20 == 0)
+    for df in (frame(spark, rows), clashing(frame(spark, rows))):
+        got = found_neighbours(df, "vec_id % 20 = 0")
+        assert got.keys() == want.keys()
+        for q in want:
+            assert [i for _, i in got[q]] == [i for _, i in want[q]], q
+            assert np.allclose([d for d, _ in got[q]], [d for d, _ in want[q]], rtol=1e-12, atol=0)
+
+
+def test_neighbours_of_little(spark):
+    assert ann.neighbours(ann.build(frame(spark, [])), frame(spark, [])).count() == 0
+    one = frame(spark, [(100, [1.0, 2.0], 1), (1, [0.0, 0.0], 1)])
+    assert ann.neighbours(ann.build(one), one).count() == 0
+    two = frame(spark, [(100, [1.0, 2.0], 1), (1, [1.0, 2.0, 0.0], 1), (2, [-0.0, 5.0], 1)])
+    assert found_neighbours(two, "vec_id = 100")[100] == [(0.0, 1), (float(np.sqrt(10)), 2)]
+
+
+def test_recall_beside_a_crowd(spark):
+    """A third of all rows are one vector, a tenth are near one another, the others lie all around."""
+    rng = np.random.default_rng(3)
+    loose, near = rng.normal(size=(3400, 24)), rng.normal(size=24) + 0.01 * rng.normal(size=(600, 24))
+    x = np.concatenate([loose, near, np.repeat(loose[:1], 2000, axis=0)]).astype(np.float32)
+    x = x[rng.permutation(len(x))]
+    rows = [(i, [float(c) for c in v], 0) for i, v in enumerate(x)]
+    got = found_neighbours(frame(spark, rows), "vec_id % 100 = 0")
+    hit = []
+    for q in range(0, len(x), 100):
+        d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(axis=1))
+        d[q] = np.inf
+        best = np.lexsort((np.arange(len(x)), d))[:10]
+        if d[best[-1]] == 0:
+            assert [i for _, i in got[q]] == best.tolist()
+        hit.append(len(set(best.tolist()) & {i for _, i in got[q]}) / 10)
+    assert np.mean(hit) >= 0.95
+
+
+def test_query_recall(spark, sf):
+    rows = [(r.vec_id, list(r.embedding), 0) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    want = plain_neighbours(rows, lambda i: i % 100 == 0)
+    got = {}
+    for r in queries.op12_nearest_neighbours(spark, sf).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert got.keys() == want.keys()
+    assert np.mean([len(got[q] & {i for _, i in want[q]}) / 10 for q in want]) >= 0.98
