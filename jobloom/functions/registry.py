@@ -44,7 +44,8 @@ def register_functions(spark: SparkSession) -> list[str]:
     spark.udf.register("posting_seq_ratio", S.seq_ratio)
     define("posting_jaccard", ["a", "b"], "DOUBLE",
            overlap(*(f"filter(split({v}, ' '), w -> w != '')" for v in "ab")))
-    spark.udf.register("posting_mixed", S.mixed_similarity)
+    define("posting_mixed", ["a", "b"], "DOUBLE", "CASE WHEN a = b THEN 1D WHEN a = '' OR b = '' THEN 0D "
+           "WHEN a IS NOT NULL AND b IS NOT NULL THEN greatest(posting_jaccard(a, b), posting_seq_ratio(a, b)) END")
     define("posting_similarity", ["a", "b"], "DOUBLE", "posting_mixed(posting_normalize(a), posting_normalize(b))")
     return ["posting_normalize", "posting_trigrams", "trigram_similarity", "province_of",
             "posting_jaccard", "posting_seq_ratio", "posting_mixed", "posting_similarity"]

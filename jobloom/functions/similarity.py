@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from jobloom.functions.text import WORD, bind, col, is_unstated, normalize_text
+from jobloom.operators.matching import with_ratios
 
 
 # ---- trigrams ---------------------------------------------------------------------------
@@ -116,31 +117,28 @@ def ratio_bound(a: str | Column, b: str | Column) -> Column:
     return F.when(la + lb > 0, 2.0 * F.least(la, lb) / (la + lb)).otherwise(1.0)
 
 
-def _mixed(a: str | None, b: str | None) -> float | None:
-    if a is None or b is None:
-        return None
-    if a == b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    x, y = set(a.split()), set(b.split())
-    return max(len(x & y) / len(x | y), _ratio(a, b))
+def similarity_normalized(a: str | Column, b: str | Column, use_characters: bool = True) -> Column:
+    """The larger of token overlap and character ratio of texts that are normalised already; null if one
+    is null.  For many pairs use ``with_similarities``, which computes the ratio in Spark as well."""
+    a, b = col(a), col(b)
+    if use_characters:
+        needs = (a != b) & (a != "") & (b != "")
+        measure = F.greatest(token_jaccard(a, b), seq_ratio(F.when(needs, a), F.when(needs, b)))
+        return _edge_cases(a, b, measure)
+    return bind(F.struct(a.alias("x"), b.alias("y")), lambda p: _edge_cases(p["x"], p["y"], token_jaccard(p["x"], p["y"])))
 
 
-@F.pandas_udf(DoubleType())
-def mixed_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The larger of token overlap and character ratio of normalised texts."""
-    return pd.Series([_mixed(x, y) for x, y in zip(a, b)], dtype="float64")
+def _edge_cases(a: Column, b: Column, otherwise: Column) -> Column:
+    return F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0).when(a.isNotNull() & b.isNotNull(), otherwise)
 
 
-def similarity_normalized(a: str | Column, b: str | Column, use_characters: bool = True) -> Column:
-    """Mix of both measures on texts that are normalised already; null if one is null."""
-    a, b = col(a), col(b)
-    if use_characters:
-        return mixed_similarity(a, b)
-    return bind(F.struct(a.alias("x"), b.alias("y")), lambda p: (
-        F.when(p["x"] == p["y"], 1.0).when((p["x"] == "") | (p["y"] == ""), 0.0)
-        .when(p["x"].isNotNull() & p["y"].isNotNull(), token_jaccard(p["x"], p["y"]))))
+def with_similarities(rows: DataFrame, use_characters: bool = True, **compared: tuple[str, str]) -> DataFrame:
+    """Rows with a similarity column for each named pair of columns of normalised texts."""
+    if not use_characters:
+        return rows.withColumns({n: similarity_normalized(a, b, False) for n, (a, b) in compared.items()})
+    out = with_ratios(rows, {f"_ratio_{n}": ab for n, ab in compared.items()})
+    return out.withColumns({n: _edge_cases(F.col(a), F.col(b), F.greatest(token_jaccard(a, b), F.col(f"_ratio_{n}")))
+                            for n, (a, b) in compared.items()}).drop(*[f"_ratio_{n}" for n in compared])
 
 
 def similarity(a: str | Column, b: str | Column, use_characters: bool = True) -> Column:
@@ -183,20 +181,20 @@ def duplicate_scores(pairs: DataFrame, threshold: float = 0.9, use_characters: b
     def normalized(c):
         return {f"_{c}": normalize_text(c), f"_{c}{suffix}": normalize_text(c + suffix)}
 
-    def score(c):
-        return similarity_normalized(f"_{c}", f"_{c}{suffix}", use_characters)
-
     out = pairs.withColumns({k: v for c in ("company_name", "job_title", "salary", "level")
                              for k, v in normalized(c).items()})
-    out = out.withColumn("company_score", score("company_name"))
+    out = with_similarities(out, use_characters, company_score=("_company_name", f"_company_name{suffix}"))
     gate = F.col("company_score") >= threshold
     out = out.withColumns({c: F.when(gate, F.col(c)) for c in ("_job_title", f"_job_title{suffix}")})
-    out = out.withColumn("title_score", F.coalesce(score("job_title"), F.lit(0.0)))
+    out = with_similarities(out, use_characters, title_score=("_job_title", f"_job_title{suffix}")).fillna(0.0, ["title_score"])
     gate = gate & (F.col("title_score") >= threshold)
-    for c in ("salary", "level"):
-        out = out.withColumns({x: F.when(gate, F.col(x)) for x in (f"_{c}", f"_{c}{suffix}")})
+    either = ("salary", "level")
+    stated = lambda c: gate & ~is_unstated(c) & ~is_unstated(c + suffix)
+    out = out.withColumns({x: F.when(stated(c), F.col(x)) for c in either for x in (f"_{c}", f"_{c}{suffix}")})
+    out = with_similarities(out, use_characters, **{f"_{c}_text": (f"_{c}", f"_{c}{suffix}") for c in either})
+    for c in either:
         ua, ub = is_unstated(c), is_unstated(c + suffix)
-        value = F.when(ua & ub, 1.0).when(ua | ub, 0.5).otherwise(score(c))
+        value = F.when(ua & ub, 1.0).when(ua | ub, 0.5).otherwise(F.col(f"_{c}_text"))
         out = out.withColumn(f"{c}_score", F.when(gate, value).otherwise(0.0))
     is_dup = gate & ((F.col("salary_score") >= threshold) | (F.col("level_score") >= threshold))
     keep = [c for c in out.columns if not c.startswith("_")]
@@ -204,4 +202,4 @@ def duplicate_scores(pairs: DataFrame, threshold: float = 0.9, use_characters: b
 
 
 __all__ = ["WORD", "trigrams", "trigram_similarity", "trigram_similarity_to", "token_jaccard",
-           "seq_ratio", "similarity", "field_similarity", "duplicate_scores", "reaches"]
+           "seq_ratio", "similarity", "field_similarity", "duplicate_scores", "reaches", "with_ratios", "with_similarities"]

@@ -26,9 +26,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobloom import rules as R
-from jobloom.functions.similarity import reaches
+from jobloom.functions.similarity import reaches, tokens
 from jobloom.functions.text import block_key, is_unstated, normalize_text
-from jobloom.operators.blocking import lengths_allow, rare_pieces
+from jobloom.operators.blocking import lengths_allow, rare_pieces, text_key
 from jobloom.session import saved
 
 COMPARED = ["company_name", "job_title", "salary", "level"]
@@ -105,13 +105,12 @@ def _where(df: DataFrame, condition: Column) -> DataFrame:
 
 def _similar_companies(companies: DataFrame, rule: MatchRule) -> DataFrame:
     """Directed pairs (c, near) of different but similar company names in one block."""
-    names = companies.select("c", "block").distinct()
-    keyed = rare_pieces(names, "c", rule.threshold, rule.use_characters).join(names, "c")
+    names = companies.select("c", "block", text_key("c").alias("key"), F.length("c").alias("len"), F.size(tokens("c")).alias("words")).distinct()
+    keyed = rare_pieces(names, "c", rule.threshold, rule.use_characters).join(names, "key")
     a, b = keyed.alias("a"), keyed.alias("b")
-    words = lambda x: F.size(F.split(F.col(x), " "))
     pairs = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.piece") == F.col("b.piece"))
                    & (F.col("a.c") < F.col("b.c"))
-                   & lengths_allow(F.length("a.c"), F.length("b.c"), words("a.c"), words("b.c"),
+                   & lengths_allow(F.col("a.len"), F.col("b.len"), F.col("a.words"), F.col("b.words"),
                                    rule.threshold, rule.use_characters))
     pairs = pairs.select(F.col("a.c").alias("x"), F.col("b.c").alias("y")).distinct()
     both = pairs.select(F.inline(F.array(
@@ -123,14 +122,18 @@ def _similar_companies(companies: DataFrame, rule: MatchRule) -> DataFrame:
 def _entries(profiles: DataFrame, rule: MatchRule) -> DataFrame:
     """Bucket entries of profiles: under their own company (``own``) and, to look for
     candidates only, under similar ones."""
-    slim = profiles.select("profile", "c", "t", "first", "last", F.lit(True).alias("own"))
+    slim = profiles.select("profile", "c", "first", "last", F.lit(True).alias("own"))
     near = _similar_companies(profiles, rule)
-    other = slim.join(near, "c").select(
-        "profile", F.col("near").alias("c"), "t", "first", "last", F.lit(False).alias("own"))
-    pieces = rare_pieces(profiles, "t", rule.threshold, rule.use_characters)
-    return slim.unionByName(other).join(pieces, "t").select(
-        "profile", "c", "piece", "first", "last", "own", F.length("t").alias("len"),
-        F.size(F.split("t", " ")).alias("words"))
+    other = slim.join(near, "c").select("profile", F.col("near").alias("c"), "first", "last", F.lit(False).alias("own"))
+    every = saved(slim.unionByName(other))
+    # a title can only meet another one under a company that several profiles come to
+    several = every.groupBy("c").agg(F.count("*").alias("n")).where("n > 1").select("c")
+    every = every.join(several, "c", "left_semi")
+    titles = saved(profiles.join(every.select("profile").distinct(), "profile", "left_semi").select(
+        "profile", "t", text_key("t").alias("key"), F.length("t").alias("len"), F.size(tokens("t")).alias("words")))
+    pieces = saved(rare_pieces(titles, "t", rule.threshold, rule.use_characters))
+    return every.join(titles.drop("t"), "profile").join(pieces, "key").select(
+        "profile", "c", "piece", "first", "last", "own", "len", "words")
 
 
 def _same_bucket(later: DataFrame, earlier: DataFrame, rule: MatchRule, *more: Column) -> DataFrame:

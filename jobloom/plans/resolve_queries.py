@@ -1,7 +1,6 @@
 """Duplicate resolution over the documents seen as postings, with SQL twins.
 
-SQL has no character ratio, so the twins use the token measure alone; the full measure is
-checked against the plain sequential scan in the tests.
+SQL has no character ratio: the twins find it by recursion (``ratio_sql``).
 """
 
 from __future__ import annotations
@@ -43,6 +42,51 @@ def sql_similar(a: str, b: str) -> str:
     return f"(CASE WHEN {a} = {b} THEN 1::DOUBLE WHEN {a} = '' OR {b} = '' THEN 0::DOUBLE ELSE {sql_jaccard(a, b)} END)"
 
 
+def ratio_sql(pairs: str, mark: str = "") -> str:
+    """Tables that end in ``ratios`` (a, b, ratio) of the different, non-empty texts a and b of the table ``pairs``;
+    ``mark`` ends the names of these tables.
+
+    A recursion over rectangles, each a range of the two texts with the list of islands (stretches of equal characters) in
+    it: the best island grows to the longest block, what lies left and right of it goes on.
+    """
+    grow = lambda first, room, x, y: (
+        f"CASE WHEN NOT long OR {room} = 0 OR {x.format(0)} <> {y.format(0)} THEN 0 ELSE coalesce(list_position(list_transform("
+        f"range({room}), lambda t: {x.format('t')} <> {y.format('t')}), true), {room} + 1) - 1 END")
+    before = grow("i", "least(best.i - a0, best.j - b0)", "x[best.i - {}]", "y[best.j - {}]")
+    after = grow("i", "least(a1 - best.i - best.n, b1 - best.j - best.n)", "x[best.i + best.n + 1 + {}]", "y[best.j + best.n + 1 + {}]")
+    cut = """list_filter(list_transform(islands, lambda o: {{'i': o.i + greatest(0, {a0} - o.i, {b0} - o.j), 'j': o.j + greatest(0, {a0} - o.i, {b0} - o.j),
+      'n': least(o.n, {a1} - o.i, {b1} - o.j) - greatest(0, {a0} - o.i, {b0} - o.j)}}), lambda o: o.n > 0)"""
+    return f"""hard{mark} AS MATERIALIZED (SELECT *, row_number() OVER () AS pair, string_split(a, '') AS x, string_split(b, '') AS y, length(b) >= 200 AS long
+  FROM (SELECT DISTINCT a, b FROM {pairs} WHERE a <> b AND a <> '' AND b <> '')),
+xs{mark} AS (SELECT pair, unnest(x) AS ch, unnest(range(len(x))) AS i FROM hard{mark}),
+ys{mark} AS (SELECT pair, unnest(y) AS ch, unnest(range(len(y))) AS j, len(y) AS size FROM hard{mark}),
+common{mark} AS (SELECT pair, ch FROM ys{mark} GROUP BY pair, ch, size HAVING size >= 200 AND count(*) > size // 100 + 1),
+met{mark} AS (SELECT xs{mark}.pair, i, j FROM xs{mark} JOIN (SELECT * FROM ys{mark} ANTI JOIN common{mark} USING (pair, ch)) y USING (pair, ch)),
+stretches{mark} AS (SELECT pair, min(i) AS i, min(j) AS j, count(*) AS n
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY pair, j - i ORDER BY i) AS island FROM met{mark}) GROUP BY pair, j - i, island),
+cover{mark}(pair, a0, a1, b0, b1, islands, got) AS (
+  SELECT hard{mark}.pair, 0::BIGINT, len(x)::BIGINT, 0::BIGINT, len(y)::BIGINT, coalesce(found, []), 0::BIGINT FROM hard{mark}
+    LEFT JOIN (SELECT pair, list({{'i': i::BIGINT, 'j': j::BIGINT, 'n': n::BIGINT}}) AS found FROM stretches{mark} GROUP BY 1) f ON f.pair = hard{mark}.pair
+  UNION ALL
+  SELECT pair, CASE side WHEN 0 THEN a0 ELSE end_a END, CASE side WHEN 0 THEN from_a ELSE a1 END,
+    CASE side WHEN 0 THEN b0 ELSE end_b END, CASE side WHEN 0 THEN from_b ELSE b1 END,
+    CASE side WHEN 0 THEN {cut.format(a0="a0", a1="from_a", b0="b0", b1="from_b")} ELSE {cut.format(a0="end_a", a1="a1", b0="end_b", b1="b1")} END,
+    CASE side WHEN 0 THEN end_a - from_a ELSE 0 END
+  FROM (SELECT *, best.i - before AS from_a, best.j - before AS from_b, best.i + best.n + after AS end_a, best.j + best.n + after AS end_b FROM (
+    SELECT *, {before} AS before, {after} AS after FROM (
+      SELECT g.*, x, y, long, CASE WHEN len(islands) = 0 THEN {{'i': 0::BIGINT, 'j': 0::BIGINT, 'n': 0::BIGINT}} ELSE
+        list_transform([list_min(list_transform(islands, lambda o: {{'less': -o.n, 'i': o.i, 'j': o.j}}))], lambda o: {{'i': o.i, 'j': o.j, 'n': -o.less}})[1] END AS best
+      FROM cover{mark} g JOIN hard{mark} ON hard{mark}.pair = g.pair
+      WHERE a1 > a0 AND b1 > b0 AND (len(islands) > 0 OR a0 + b0 = 0 AND long AND x[1] = y[1])))), (VALUES (0), (1)) AS sides(side)),
+ratios{mark} AS (SELECT a, b, 2.0::DOUBLE * sum(got) / (length(a) + length(b)) AS ratio FROM cover{mark} JOIN hard{mark} ON hard{mark}.pair = cover{mark}.pair GROUP BY a, b)"""
+
+
+def sql_mixed(a: str, b: str, ratio: str) -> str:
+    """The similarity of two texts, given their ratio."""
+    return (f"(CASE WHEN {a} = {b} THEN 1::DOUBLE WHEN {a} = '' OR {b} = '' THEN 0::DOUBLE "
+            f"ELSE greatest({sql_jaccard(a, b)}, coalesce({ratio}, 0::DOUBLE)) END)")
+
+
 UNSTATED_LIST = ", ".join(f"'{w}'" for w in R.UNSTATED)
 
 
@@ -101,15 +145,31 @@ def _(spark, sf):
         F.round(S.similarity("company_name", "company_name_2", False), 9).alias("company"))
 
 
-@query("similarity")
+def with_ratio_of(*columns: str) -> str:
+    """The neighbours with the ratios of pairs of columns, as tables up to ``rated``."""
+    asked = " UNION ALL ".join(f"SELECT {x}1 AS a, {x}2 AS b FROM nb" for x in columns)
+    joins = " ".join(f"LEFT JOIN ratios r{x} ON r{x}.a = {x}1 AND r{x}.b = {x}2" for x in columns)
+    ratios = ", ".join(f"r{x}.ratio AS r{x}" for x in columns)
+    return NEIGHBOURS.replace("WITH ", "WITH RECURSIVE ", 1) + f", asked AS ({asked}), {ratio_sql('asked')}, rated AS (SELECT nb.*, {ratios} FROM nb {joins}) "
+
+
+@query("similarity", with_ratio_of("t", "c") + f"""SELECT doc_id, round({sql_mixed('t1', 't2', 'rt')}, 9) AS title,
+  round({sql_mixed('c1', 'c2', 'rc')}, 9) AS company FROM rated""")
 def _(spark, sf):
-    return neighbours(spark, sf).select("doc_id", S.similarity("job_title", "job_title_2").alias("title"),
-                                        S.similarity("company_name", "company_name_2").alias("company"))
+    sides = {f"{x}{n}": X.normalize_text(c + suffix) for x, c in (("t", "job_title"), ("c", "company_name"))
+             for n, suffix in ((1, ""), (2, "_2"))}
+    rows = neighbours(spark, sf).select("doc_id", *[c.alias(n) for n, c in sides.items()])
+    out = S.with_similarities(rows, title=("t1", "t2"), company=("c1", "c2"))
+    return out.select("doc_id", F.round("title", 9).alias("title"), F.round("company", 9).alias("company"))
 
 
-@query("seq_ratio")
+@query("seq_ratio", "WITH RECURSIVE " + DOCUMENT_POSTINGS_SQL + """, asked AS (SELECT a.doc_id, a.job_title AS a, b.job_title AS b
+  FROM doc_postings a JOIN doc_postings b ON b.doc_id = a.doc_id - 20), """ + ratio_sql("asked") + """
+SELECT doc_id, round(CASE WHEN asked.a = asked.b THEN 1 ELSE coalesce(ratio, 0) END::DOUBLE, 9) AS ratio
+FROM asked LEFT JOIN ratios ON ratios.a = asked.a AND ratios.b = asked.b""")
 def _(spark, sf):
-    return neighbours(spark, sf).select("doc_id", S.seq_ratio("job_title", "job_title_2").alias("ratio"))
+    out = S.with_ratios(neighbours(spark, sf), {"ratio": ("job_title", "job_title_2")})
+    return out.select("doc_id", F.round("ratio", 9).alias("ratio"))
 
 
 # A salary column with all the ways of saying nothing, from the order status.
@@ -153,26 +213,49 @@ def _(spark, sf):
     return scores(neighbours(spark, sf), False)
 
 
-@query("duplicate_scores")
+@query("duplicate_scores", with_ratio_of("c", "t", "s", "l") + f""", g AS (SELECT *, {sql_mixed('c1', 'c2', 'rc')} AS company FROM rated),
+h AS (SELECT *, CASE WHEN company >= 0.3::DOUBLE THEN {sql_mixed('t1', 't2', 'rt')} ELSE 0::DOUBLE END AS title FROM g),
+i AS (SELECT *, CASE WHEN company >= 0.3::DOUBLE AND title >= 0.3::DOUBLE THEN {sql_mixed('s1', 's2', 'rs')} ELSE 0::DOUBLE END AS salary,
+  CASE WHEN company >= 0.3::DOUBLE AND title >= 0.3::DOUBLE THEN {sql_mixed('l1', 'l2', 'rl')} ELSE 0::DOUBLE END AS level FROM h)
+SELECT doc_id, company >= 0.3::DOUBLE AND title >= 0.3::DOUBLE AND (salary >= 0.3::DOUBLE OR level >= 0.3::DOUBLE) AS is_dup,
+  round(company, 9) AS company, round(title, 9) AS title, round(salary, 9) AS salary, round(level, 9) AS level FROM i""")
 def _(spark, sf):
     return scores(neighbours(spark, sf), True)
 
 
 # ---- the merge --------------------------------------------------------------------------
 
-def merge_sql(stored: bool) -> str:
+def matching_sql(characters: bool) -> str:
+    """Tables that end in ``edges``: each posting with the earlier ones of its block that it matches."""
+    if not characters:
+        match = " AND ".join(f"{sql_similar('a.' + x, 'b.' + x)} >= 0.9::DOUBLE" for x in ("c", "t"))
+        either = " OR ".join(f"{sql_similar('a.' + x, 'b.' + x)} >= 0.9::DOUBLE" for x in ("s", "l"))
+        return f"""edges AS MATERIALIZED (SELECT a.rank, list(b.rank) AS candidates FROM r a JOIN r b
+  ON a.block = b.block AND b.rank < a.rank AND NOT a.existing AND {match} AND ({either}) GROUP BY 1)"""
+    # no ratio exceeds twice the shorter length over both lengths
+    ask = lambda x, t: (f"SELECT {x}1 AS a, {x}2 AS b FROM {t} WHERE 2 * least(length({x}1), length({x}2)) "
+                        f">= 0.9::DOUBLE * (length({x}1) + length({x}2)) - 1e-9")
+    reach = lambda x: f"{sql_mixed(x + '1', x + '2', f'r{x}.ratio')} >= 0.9::DOUBLE"
+    on = lambda x, mark: f"LEFT JOIN ratios{mark} r{x} ON r{x}.a = {x}1 AND r{x}.b = {x}2"
+    both = ", ".join(f"a.{x} AS {x}1, b.{x} AS {x}2" for x in "ctsl")
+    return f"""met_all AS MATERIALIZED (SELECT a.rank, b.rank AS earlier, {both} FROM r a JOIN r b ON a.block = b.block AND b.rank < a.rank AND NOT a.existing),
+ask_c AS ({ask('c', 'met_all')}), {ratio_sql('ask_c', '_c')},
+alike AS MATERIALIZED (SELECT m.* FROM met_all m {on('c', '_c')} WHERE {reach('c')}),
+ask_t AS ({ask('t', 'alike')} UNION ALL {ask('s', 'alike')} UNION ALL {ask('l', 'alike')}), {ratio_sql('ask_t', '_t')},
+edges AS MATERIALIZED (SELECT rank, list(earlier) AS candidates FROM alike m {on('t', '_t')} {on('s', '_t')} {on('l', '_t')}
+  WHERE {reach('t')} AND ({reach('s')} OR {reach('l')}) GROUP BY 1)"""
+
+
+def merge_sql(stored: bool, characters: bool = False) -> str:
     """The sequential scan as a recursion over the position inside each block."""
     is_stored = f"source IN ({', '.join(repr(s) for s in STORED)})" if stored else "false"
     order = f"CASE WHEN {is_stored} THEN 0 ELSE CAST(replace(source, 'src', '') AS INT) + 1 END, doc_id"
-    match = " AND ".join(f"{sql_similar('a.' + x, 'b.' + x)} >= 0.9::DOUBLE" for x in ("c", "t"))
-    either = " OR ".join(f"{sql_similar('a.' + x, 'b.' + x)} >= 0.9::DOUBLE" for x in ("s", "l"))
     return "WITH RECURSIVE " + DOCUMENT_POSTINGS_SQL + f""", n AS (SELECT doc_id, job_url, source, {is_stored} AS existing,
   {sql_normalize('company_name')} AS c, {sql_normalize('job_title')} AS t, {sql_normalize('salary')} AS s, {sql_normalize('level')} AS l
   FROM doc_postings),
 r AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY {order}) AS rank, left(c, 3) AS block,
   row_number() OVER (PARTITION BY left(c, 3) ORDER BY {order}) AS pos FROM n),
-edges AS MATERIALIZED (SELECT a.rank, list(b.rank) AS candidates FROM r a JOIN r b
-  ON a.block = b.block AND b.rank < a.rank AND NOT a.existing AND {match} AND ({either}) GROUP BY 1),
+{matching_sql(characters)},
 steps AS MATERIALIZED (SELECT block, pos, rank, existing, coalesce(candidates, []) AS candidates FROM r LEFT JOIN edges USING (rank)),
 g(block, pos, rank, link, kept) AS (
   SELECT DISTINCT block, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, []::BIGINT[] FROM r
@@ -198,7 +281,7 @@ def _(spark, sf):
     return merged(spark, sf).drop("rank")
 
 
-@query("resolve_duplicates")
+@query("resolve_duplicates", merge_sql(False, True) + "SELECT * FROM decisions")
 def _(spark, sf):
     return merged(spark, sf, D.MatchRule()).drop("rank")
 
@@ -208,7 +291,7 @@ def _(spark, sf):
     return merged(spark, sf, stored=True).drop("rank")
 
 
-@query("resolve_incremental")
+@query("resolve_incremental", merge_sql(True, True) + "SELECT * FROM decisions")
 def _(spark, sf):
     return merged(spark, sf, D.MatchRule(), stored=True).drop("rank")
 
@@ -254,12 +337,15 @@ def _(spark, sf):
     return after.select("job_url", old.alias("stored"), F.coalesce(urls, F.lit("")).alias("urls"))
 
 
-@query("sync_report", merge_sql(True) + """SELECT source, count(*) AS total, count(*) FILTER (status = 'kept') AS new,
-count(*) FILTER (status = 'duplicate') AS duplicate FROM decisions WHERE status <> 'existing' GROUP BY ROLLUP (source)""")
+REPORT_SQL = """SELECT source, count(*) AS total, count(*) FILTER (status = 'kept') AS new,
+count(*) FILTER (status = 'duplicate') AS duplicate FROM decisions WHERE status <> 'existing' GROUP BY ROLLUP (source)"""
+
+
+@query("sync_report", merge_sql(True) + REPORT_SQL)
 def _(spark, sf):
     return D.sync_report(merged(spark, sf, stored=True))
 
 
-@query("sync_report_full")
+@query("sync_report_full", merge_sql(False, True) + REPORT_SQL)
 def sync_report_full(spark, sf):
     return D.sync_report(merged(spark, sf, D.MatchRule()))

@@ -107,13 +107,13 @@ postings AS (
 
 
 def document_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One posting per document: three words of company, twelve of title."""
+    """One posting per document: three words of company, all others are its title."""
     words = F.split(F.trim(F.regexp_replace("text", r"[^\p{L}\p{N}]+", " ")), " ")
     d = table(spark, sf_dir, "documents")
     return d.select(
         F.concat(F.lit("https://docs.example/"), F.col("doc_id").cast("string")).alias("job_url"),
         "source",
-        F.array_join(F.slice(words, 4, 12), " ").alias("job_title"),
+        F.array_join(F.slice(words, F.lit(4), F.size(words)), " ").alias("job_title"),
         F.array_join(F.slice(words, 1, 3), " ").alias("company_name"),
         F.col("n_chars").cast("string").alias("salary"),
         F.col("lang").alias("level"),
@@ -128,7 +128,7 @@ doc_words AS (
   SELECT *, string_split(trim(regexp_replace(text, '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM documents),
 doc_postings AS (
   SELECT 'https://docs.example/' || doc_id AS job_url, source,
-    array_to_string(w[4:15], ' ') AS job_title,
+    array_to_string(w[4:], ' ') AS job_title,
     array_to_string(w[1:3], ' ') AS company_name,
     CAST(n_chars AS VARCHAR) AS salary, lang AS level, text AS job_description, doc_id
   FROM doc_words)

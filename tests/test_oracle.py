@@ -14,11 +14,8 @@ from jobloom.plans import catalog  # noqa: E402
 QUERIES, SQL = catalog.load()
 #: queries that SQL cannot express, and the tests that check what they give
 COVERED = {
-    "similarity": "test_golden", "seq_ratio": "test_golden", "duplicate_scores": "test_golden",
-    "resolve_duplicates": "test_resolve.test_equals_scan", "resolve_incremental": "test_resolve.test_incremental",
-    "sync_report_full": "test_resolve.test_links_and_report", "html_to_text_exact": "test_golden",
-    "geo_enrich_provinces": "test_summaries", "overview_document": "test_summaries", "publish_gold": "test_summaries",
-    "gold_refresh": "test_summaries", "scheduled_refresh": "test_summaries",
+    "html_to_text_exact": "test_golden", "geo_enrich_provinces": "test_summaries", "overview_document": "test_summaries",
+    "publish_gold": "test_summaries", "gold_refresh": "test_summaries", "scheduled_refresh": "test_summaries",
 }
 
 
