@@ -38,6 +38,13 @@ def source_share(coverage: DataFrame, total: DataFrame) -> DataFrame:
             .select("source", "postings", share.alias("percentage")))
 
 
+def whole_source_share(coverage: DataFrame, total: DataFrame) -> DataFrame:
+    """Merged postings of every source and their share of all in whole percent; 0 where there are none."""
+    share = F.when(F.col("total") > 0, half_up(F.col("unified_count") / F.col("total") * 100)).otherwise(0)
+    return (coverage.join(F.broadcast(total.select("total")), F.lit(True))  # one-row side
+            .select("source", F.col("unified_count").alias("postings"), share.cast("bigint").alias("percentage")))
+
+
 def heat_tier(percent: str | Column) -> Column:
     return tiers(F.col(percent) if isinstance(percent, str) else percent, R.HEAT_TIERS, R.HEAT_FLOOR)
 

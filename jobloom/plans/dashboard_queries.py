@@ -35,6 +35,14 @@ def _(spark, sf):
     return shares(spark, sf)
 
 
+@query("source_share_whole", SHARE + """SELECT source, u AS postings,
+  CAST(CASE WHEN total > 0 THEN floor(u / total * 100 + 0.5) ELSE 0 END AS BIGINT) AS percentage FROM cov, tot""")
+def _(spark, sf):
+    master = first_copies(spark, sf).filter("source <> 'src3'")
+    coverage = A.source_coverage(table(spark, sf, "documents"), master, DOC_SOURCES)
+    return C.whole_source_share(coverage, A.total_count(master))
+
+
 def tier_sql(expr, steps, floor):
     quote = lambda v: f"'{v}'" if isinstance(v, str) else str(v)
     return "CASE " + " ".join(f"WHEN {expr} >= {a} THEN {quote(v)}" for a, v in steps) + f" ELSE {quote(floor)} END"

@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 from jobloom import rules as R
 from jobloom.functions import text as X
 from jobloom.schema import API_PAYLOAD, EMBEDDED_DOCUMENT, PLACE, POSTING, TEXT_COLUMNS
+from jobloom.session import saved
 
 
 # ---- tables -----------------------------------------------------------------------------
@@ -27,6 +29,22 @@ def read_source(spark: SparkSession, path: str, schema: T.StructType = POSTING)
         return spark.createDataFrame([], schema)
 
 
+def settle_sources(tables: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """(tables read to their end, message of each source that failed).
+
+    A source that fails while it is read, say by a damaged file or a lost connection, gives no rows and does not stop the
+    others.  What was read lies in the scratch folder, so a later step cannot fail on it again.
+    """
+    settled, failed = {}, {}
+    for name, df in tables.items():
+        try:
+            settled[name] = saved(df)
+        except (PySparkException, Py4JJavaError) as error:
+            settled[name] = df.sparkSession.createDataFrame([], df.schema)
+            failed[name] = str(error).split("\n")[0][:500]
+    return settled, failed
+
+
 SPREAD = "spark.jobloom.spread"
 
 
