@@ -6,9 +6,11 @@ fixed number of numpy calls per batch and not per word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +50,14 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def give_back_memory() -> None:
+    """Returns freed memory to the system.  Python workers live on after a task and would hold its peak."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit numbers."""
     x = x ^ (x >> np.uint64(33))

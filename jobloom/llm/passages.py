@@ -15,7 +15,10 @@ equal places and only the suffixes at picked places, about one in forty, have to
    and front-coded: a suffix is the length of the prefix it shares with its predecessor, and its rest.
 3. **Merge.**  For each range, a tree of losers merges the runs.  A candidate carries its common prefix
    with the last suffix put out: the one with more in common is the smaller, and only equals are compared,
-   from that length on.  Bytes known to be equal are never compared again.
+   from that length on.  Bytes known to be equal are never compared again.  Suffixes of one range start with the
+   same few grams.  A gram at more than ``HOT`` places (a line that stands in very many documents) would make one
+   range without bound, so there each string goes alone, to the range of the hash of all its bytes: equal ones
+   end in their runs, and a range gets no more of a string than there are runs.
 4. **Strings.**  In merged order the common prefixes tell for every split of a string at its place which
    suffixes have an equal right part; hashes of the bytes before tell the left part.  All but the earliest of
    equal strings are removed.
@@ -37,20 +40,22 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import _power_tables, free_name, mix, text_of
+from jobloom.llm.common import _power_tables, free_name, give_back_memory, mix, text_of
 from jobloom.session import saved
 
 LENGTH = 100
 GRAM = 25
 WIDTH = LENGTH - GRAM + 1      # places a string can pick from
-CHUNK = 1_000_000              # bytes of one round of numpy calls
+CHUNK = 300_000                # bytes of one round of numpy calls
 RUN_BYTES = 12_000_000         # texts held for one run
 PIECE = 8_000_000              # longer texts are handled in overlapping pieces of so many bytes
-RECORDS = 1_000_000            # places that a task holds
+RECORDS = 150_000              # places that a task holds
 RUN_RECORDS = 60_000           # suffixes of one run
 RANGE_ROWS = 4_000             # documents for each hash range
+HOT = 2_000                    # places of a gram from which on its strings go alone
+HOT_SHARE = 100_000            # a gram at fewer than one in so many places is not hot, so no more grams than that are
 LAST_ID = (1 << 63) - 1
-PLACE = np.dtype([("hash", "<u8"), ("id", "<i8"), ("print", "<i8"), ("at", "<u4"), ("least", "u1"), ("most", "u1")])
+PLACE = np.dtype([("hash", "<u8"), ("id", "<i8"), ("print", "<i8"), ("at", "<u4"), ("least", "u1"), ("most", "u1"), ("count", "<u4")])
 SPOT = np.dtype([("at", "<u4"), ("least", "u1"), ("most", "u1")])
 RUN = np.dtype([("id", "<i8"), ("print", "<i8"), ("at", "<u4"), ("least", "u1"), ("most", "u1"), ("shared", "u1"), ("rest", "u1")])
 STRETCH = "id long, print long, stretches binary"
@@ -116,12 +121,15 @@ def _places_of(pdf: pd.DataFrame) -> Iterator[np.ndarray]:
         out = np.empty(len(h), PLACE)
         row = np.array(numbers)[own]
         out["hash"], out["id"], out["print"] = h, ids[row], prints[row]
-        out["at"], out["least"], out["most"] = at - begin[own] + np.array(offsets)[own], least, most
+        out["at"], out["least"], out["most"], out["count"] = at - begin[own] + np.array(offsets)[own], least, most, 1
         yield out
 
 
 def _by_range(hashes: np.ndarray, ranges: int) -> np.ndarray:
-    return ((hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+    """Places are picked by small hashes, so these are mixed again: else most places are in the first range."""
+    with np.errstate(over="ignore"):
+        again = mix(hashes + _ODD)
+    return ((again >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
 _PICKED = ["id", "print", "spots", "part", "places"]
@@ -133,6 +141,7 @@ def _pick(ranges: int):
 
     def flush(held: list[np.ndarray]) -> Iterator[pd.DataFrame]:
         places = np.concatenate(held)
+        held.clear()
         places = places[np.argsort(places["hash"], kind="stable")]
         h = places["hash"]
         same = h[1:] == h[:-1]
@@ -140,7 +149,11 @@ def _pick(ranges: int):
         first = np.concatenate([[True], ~same])
         yield _spots(places[known]).assign(part=-1, places=None)[_PICKED]
         some = places[first]
-        cut = np.searchsorted(_by_range(some["hash"], ranges), np.arange(ranges + 1))
+        some["count"] = np.diff(np.append(np.flatnonzero(first), len(places)))
+        del places, h, same, known
+        part = _by_range(some["hash"], ranges)
+        order = np.argsort(part, kind="stable")
+        some, cut = some[order], np.searchsorted(part[order], np.arange(ranges + 1))
         for p in np.flatnonzero(np.diff(cut)):
             out = pd.DataFrame({"id": [None], "print": [None], "spots": [None], "part": [p], "places": [some[cut[p]: cut[p + 1]].tobytes()]})
             yield out.astype({"id": "Int64", "print": "Int64"})
@@ -153,9 +166,10 @@ def _pick(ranges: int):
                 size += len(places)
                 if size > RECORDS:
                     yield from flush(held)
-                    held, size = [], 0
+                    size = 0
         if size:
             yield from flush(held)
+        give_back_memory()
 
     return run
 
@@ -172,11 +186,34 @@ def _spots(places: np.ndarray) -> pd.DataFrame:
                          "spots": [spots[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])]})
 
 
-def _repeated(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of the places of one range: those whose hash several tasks have."""
-    places = np.frombuffer(b"".join(pdf["places"]), PLACE)
-    _, which, count = np.unique(places["hash"], return_inverse=True, return_counts=True)
-    return _spots(places[count[which] > 1])
+_REPEATED = "id long, print long, spots binary, hash long, n long"
+
+
+def _repeated(least: int):
+    """Of the places of one range: those whose hash several tasks have.  Then, as rows without a document, the
+    hashes of at least so many places with their numbers, and the number of all places."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        places = np.frombuffer(b"".join(pdf["places"]), PLACE)
+        places = places[np.argsort(places["hash"], kind="stable")]
+        first = np.flatnonzero(np.concatenate([[True], places["hash"][1:] != places["hash"][:-1]]))
+        tasks = np.diff(np.append(first, len(places)))
+        n = np.add.reduceat(places["count"].astype(np.int64), first)
+        many = n >= least
+        found = _spots(places[np.repeat(tasks > 1, tasks)]).assign(hash=None, n=None)
+        counts = pd.DataFrame({"hash": [*places["hash"][first[many]].view(np.int64).tolist(), None], "n": [*n[many].tolist(), int(n.sum())]})
+        counts = counts.assign(id=None, print=None, spots=None)[list(found.columns)]
+        whole = {c: "Int64" for c in ("id", "print", "hash", "n")}
+        return pd.concat([found.astype(whole), counts.astype(whole)], ignore_index=True)
+
+    return run
+
+
+def hot_grams(repeated: DataFrame, least: int) -> np.ndarray:
+    """Sorted hashes of the grams that stand at very many places, ``HOT_SHARE`` at most."""
+    total = repeated.where("id IS NULL AND hash IS NULL").agg(F.sum("n")).first()[0] or 0
+    rows = repeated.where("hash IS NOT NULL").where(F.col("n") >= max(least, total // HOT_SHARE)).select("hash").collect()
+    return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
 
 
 # ---- 2. runs -----------------------------------------------------------------------------------
@@ -200,17 +237,18 @@ def _stretches(ids: np.ndarray, prints: np.ndarray, low: np.ndarray, high: np.nd
 
 
 def _sort_run(spots: np.ndarray, ids: np.ndarray, prints: np.ndarray, text: np.ndarray, place: np.ndarray,
-              ranges: int) -> Iterator[tuple[int, bytes | None, pd.DataFrame | None]]:
+              ranges: int, alone: bool = False) -> Iterator[tuple[int, bytes | None, pd.DataFrame | None]]:
     """Sorts suffixes, decides equal ones and front-codes the others by range.
 
-    ``text`` holds the texts behind each other, ``place`` the index of each suffix in it.
+    ``text`` holds the texts behind each other, ``place`` the index of each suffix in it.  With ``alone``, each
+    suffix stands for one string, and its range is that of the whole string.
     """
     view = np.lib.stride_tricks.sliding_window_view
     right = view(np.concatenate([text, np.zeros(LENGTH, np.uint8)]), LENGTH)[place]
     right[np.arange(LENGTH) >= LENGTH - spots["least"].astype(np.int64)[:, None]] = 0
     left = view(np.concatenate([np.zeros(WIDTH - 1, np.uint8), text]), WIDTH - 1)[place][:, ::-1]
     left[np.arange(WIDTH - 1) >= spots["most"].astype(np.int64)[:, None]] = 0
-    part = _by_range(_first_hashes(right), ranges)
+    part = _by_range(_column_hashes(right, left, spots["least"]) if alone else _gram_at(text, place), ranges)
     whole = np.ascontiguousarray(np.concatenate([right, left, spots["least"][:, None], spots["most"][:, None]], axis=1))
     whole = whole.view(f"S{whole.shape[1]}").reshape(-1)
     order = np.lexsort((spots["at"], prints, ids))
@@ -244,24 +282,57 @@ def _sort_run(spots: np.ndarray, ids: np.ndarray, prints: np.ndarray, text: np.n
         yield int(p), b"".join([np.int64(n).tobytes(), record[mine].tobytes(), right[mine][kept].tobytes(), left[mine][before].tobytes()]), None
 
 
-def _first_hashes(right: np.ndarray) -> np.ndarray:
-    h = np.zeros(len(right), np.uint64)
+def _gram_at(text: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The hashes of ``_gram_hashes`` at some places only."""
+    power, _ = _power_tables(GRAM)
+    h = np.zeros(len(place), np.uint64)
     with np.errstate(over="ignore"):
         for k in range(GRAM):
-            h = mix(h + right[:, k].astype(np.uint64) * _ODD + np.uint64(k))
+            h += (text[place + k].astype(np.uint64) + np.uint64(1)) * power[k]
+    return mix(h)
+
+
+def _column_hashes(right: np.ndarray, left: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Hashes of strings, given as the bytes from their place on and the ``before`` bytes before it."""
+    h = before.astype(np.uint64)
+    with np.errstate(over="ignore"):
+        for side in (right, left):
+            for k in range(side.shape[1]):
+                h = mix(h + side[:, k].astype(np.uint64) * _ODD + np.uint64(k))
     return h
 
 
+def _strings_alone(spots: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Each spot once for each string that picked it."""
+    out = np.repeat(spots, times)
+    out["least"] += (np.arange(len(out)) - np.repeat(np.cumsum(times) - times, times)).astype(np.uint8)
+    out["most"] = out["least"]
+    return out
+
+
 _RUNS = "part int, run binary, id long, print long, stretches binary"
 
 
-def _make_runs(ranges: int):
+def _make_runs(ranges: int, hot: np.ndarray):
+    def sorted_runs(spots: np.ndarray, ids: np.ndarray, prints: np.ndarray, text: np.ndarray,
+                    place: np.ndarray) -> Iterator[tuple[int, bytes | None, pd.DataFrame | None]]:
+        crowded = np.isin(_gram_at(text, place), hot) if len(hot) else np.zeros(len(spots), dtype=bool)
+        if not crowded.all():
+            yield from _sort_run(*(x[~crowded] for x in (spots, ids, prints)), text, place[~crowded], ranges)
+        rest = np.flatnonzero(crowded)
+        for a in range(0, len(rest), RUN_RECORDS // WIDTH):
+            some = rest[a: a + RUN_RECORDS // WIDTH]
+            times = (spots["most"][some] - spots["least"][some]).astype(np.int64) + 1
+            yield from _sort_run(_strings_alone(spots[some], times), *(np.repeat(x[some], times) for x in (ids, prints)), text,
+                                 np.repeat(place[some], times), ranges, alone=True)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
 
         def flush() -> Iterator[pd.DataFrame]:
             spots, ids, prints, text, place = (np.concatenate(x) for x in zip(*held))
-            for p, data, stretches in _sort_run(spots, ids, prints, text, place, ranges):
+            held.clear()
+            for p, data, stretches in sorted_runs(spots, ids, prints, text, place):
                 if stretches is None:
                     yield pd.DataFrame({"part": [p], "run": [data], "id": [None], "print": [None], "stretches": [None]}).astype(
                         {"id": "Int64", "print": "Int64"})
@@ -279,9 +350,10 @@ def _make_runs(ranges: int):
                 size += len(spots)
                 if size > RUN_RECORDS or offset > RUN_BYTES:
                     yield from flush()
-                    held, size, offset = [], 0, 0
+                    size, offset = 0, 0
         if held:
             yield from flush()
+        give_back_memory()
 
     return run
 
@@ -405,12 +477,15 @@ def _merge_range(pdf: pd.DataFrame) -> pd.DataFrame:
             first = np.maximum.accumulate(np.where(np.concatenate([[True], key[1:] != key[:-1]]), np.arange(len(by)), 0))
             late = place[who] > place[who[first]]
             removed[who[late], o] = True
+    del left, before
     # neighbouring strings of a place are one stretch
     edge = np.diff(np.pad(removed, ((0, 0), (1, 1))).astype(np.int8), axis=1)
     row, low_o = np.nonzero(edge == 1)
     _, high_o = np.nonzero(edge == -1)
     where = record["at"][row].astype(np.int64)
-    return _stretches(record["id"][row], record["print"][row], where - (high_o - 1), where - low_o + LENGTH)
+    found = _stretches(record["id"][row], record["print"][row], where - (high_o - 1), where - low_o + LENGTH)
+    give_back_memory()
+    return found
 
 
 # ---- 5. documents ------------------------------------------------------------------------------
@@ -435,20 +510,33 @@ def _kept(text: str, lists: list[bytes] | None) -> tuple[int, int, int, str, str
     return len(data), removed, spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")
 
 
-def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", texts: bool = True) -> DataFrame:
+def _dealt(df: DataFrame, ranges: int) -> DataFrame:
+    """Rows by range, a few ranges a task: packed rows are large, and tasks joined to a common size hold too many."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(min(ranges, 8 * tasks), "part")
+
+
+def repeat_runs(docs: DataFrame, ranges: int, hot_places: int = HOT) -> DataFrame:
+    """Sorted, front-coded runs by range (``part``, ``run``), and as rows with ``part`` -1 the stretches that were decided
+    within a task.  ``docs`` has ``id``, ``print`` and ``text``."""
+    places = saved(docs.mapInPandas(_pick(ranges), "id long, print long, spots binary, part int, places binary"))
+    repeated = saved(_dealt(places.where("part >= 0").select("part", "places"), ranges).groupBy("part").applyInPandas(_repeated(hot_places), _REPEATED))
+    hot = hot_grams(repeated, hot_places)
+    spots = repeated.where("id IS NOT NULL").select("id", "print", "spots") \
+        .unionByName(places.where("part < 0").select("id", "print", "spots"))
+    of_doc = spots.groupBy("id", "print").agg(F.collect_list("spots").alias("spots"))
+    return saved(docs.join(of_doc, ["id", "print"]).mapInPandas(_make_runs(ranges, hot), _RUNS))
+
+
+def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", texts: bool = True, hot_places: int = HOT) -> DataFrame:
     """The rows of ``df`` with ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and, with ``texts``, the
     ``kept_text`` (its bytes as UTF-8; a character cut in two shows as the replacement character)."""
     ident: Column = F.coalesce(F.col(key).cast("long"), F.lit(LAST_ID)).alias("id")
     docs = df.select(ident, F.xxhash64(text_of(text)).alias("print"), text_of(text).alias("text"))
     id_, print_, lists, my_id, my_print, out = (free_name(df, n) for n in ("_id", "_print", "_lists", "_my_id", "_my_print", "_result"))
     ranges = max(32, df.select(key).count() // RANGE_ROWS)
-    places = saved(docs.mapInPandas(_pick(ranges), "id long, print long, spots binary, part int, places binary"))
-    spots = places.where("part >= 0").select("part", "places").groupBy("part") \
-        .applyInPandas(_repeated, "id long, print long, spots binary") \
-        .unionByName(places.where("part < 0").select("id", "print", "spots"))
-    of_doc = spots.groupBy("id", "print").agg(F.collect_list("spots").alias("spots"))
-    runs = saved(docs.join(of_doc, ["id", "print"]).mapInPandas(_make_runs(ranges), _RUNS))
-    merged = runs.where("part >= 0").select("part", "run").groupBy("part").applyInPandas(_merge_range, STRETCH)
+    runs = repeat_runs(docs, ranges, hot_places)
+    merged = _dealt(runs.where("part >= 0").select("part", "run"), ranges).groupBy("part").applyInPandas(_merge_range, STRETCH)
     stretches = merged.unionByName(runs.where("part < 0").select("id", "print", "stretches")) \
         .groupBy(F.col("id").alias(id_), F.col("print").alias(print_)).agg(F.collect_list("stretches").alias(lists))
 

@@ -424,6 +424,45 @@ def test_passages_equal_a_plain_removal(spark):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == plain_removal(docs)
 
 
+def _line_in_many(n):
+    """Texts of which each has the same line of 56 bytes, then one of 180, in surroundings of its own."""
+    rng = random.Random(n)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9))
+    line, passage = "this line stands in each document of the whole corpus :)", " ".join(f"shared{i:03d}" for i in range(18))
+    body = lambda: " ".join(word() for _ in range(14))
+    return [(i, f"{body()} {line} {body()} {passage} {body()}") for i in range(n)]
+
+
+def test_passages_with_grams_at_many_places_equal_a_plain_removal(spark):
+    docs = _line_in_many(120)
+    docs += [(500 + i, docs[i][1][20:320]) for i in range(40)]
+    got = passages.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(6), hot_places=8).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == plain_removal(docs)
+
+
+def test_no_range_of_suffixes_grows_with_a_line_of_all_documents(spark):
+    """A line that stands in every document would put most bytes of all runs into one range."""
+    for n in (300, 3000):
+        docs = spark.createDataFrame(_line_in_many(n), "id long, text string").repartition(4).selectExpr("id", "xxhash64(text) AS print", "text")
+
+        def sizes(hot_places):
+            runs = passages.repeat_runs(docs, 64, hot_places).where("part >= 0").selectExpr("part", "length(run) AS bytes")
+            return [r[1] for r in runs.groupBy("part").sum("bytes").collect()]
+
+        spread = sizes(100)
+        assert len(spread) == 64 and max(spread) < 3 * sum(spread) / 64
+        together = sizes(10**9)
+        assert max(together) > sum(together) / 8
+
+
+def test_picked_places_are_dealt_evenly():
+    """Places have the smallest hashes of their strings, and still no range gets more than the others."""
+    data = np.random.default_rng(5).integers(97, 123, 400_000).astype(np.uint8)
+    hashes, *_ = passages.picked(data, np.array([0]), np.array([len(data)]))
+    count = np.bincount(passages._by_range(hashes, 64), minlength=64)
+    assert len(count) == 64 and count.max() < 2 * count.mean()
+
+
 def test_passages_of_long_texts_in_pieces(monkeypatch):
     """A text cut into overlapping pieces picks the same places for all its strings."""
     rng = random.Random(1)
