@@ -8,17 +8,21 @@
 2. **Bands.**  Six registers make a band; texts that agree in a band share a bucket.  With 42 bands, a pair
    of similarity 0.8 is missed with a probability below 3e-6.
 3. **Pairs.**  Texts with equal shingle sets are one node from the start.  A bucket does not pair all its
-   nodes: each is compared with the bucket's leader.  Buckets whose nodes are not all in one component
-   after that go on with 8, 64, 512, ... leaders, until every pair across components was compared or ruled
-   out: shingles that no other text of these buckets has bound what a text can share.  Groups of many
-   copies end after the first comparison; nothing is capped.
+   nodes: each is compared with the bucket's leader.  Of its buckets' leaders a node first meets the one it
+   shares most buckets with, and the others only if they are in another component by then, so a group of
+   many copies costs one comparison a member.  Buckets whose nodes are not all in one component after that
+   go on with 8, 64, 512, ... leaders, until every pair across components was compared or ruled out:
+   shingles that no other text of these buckets has bound what a text can share.  Nothing is capped.
 4. **Likelihood.**  The numbers of registers in which one text is ahead, behind or equal, with the known
    set sizes, give the likelihood of every similarity.  Pairs that are surely below the threshold go.
-5. **Verification.**  The others are compared on their whole sets.  Components come from the links found.
+5. **Verification.**  The others are compared on their whole sets.  Of the links found, one for each node and
+   component of the other side goes on, and components of components are merged by these.
 
 Defined cases: null counts as empty; a text without words has an empty set and is linked with nothing; a
 text of fewer words than a shingle has its whole sequence as its only shingle; equal ids are one document
-for ``kept``; a null id never names a component that has another id.  Shingles are compared by 48 bits of
+for ``kept``; a null id never names a component that has another id.  ``near_dedup`` tells rows apart by id and
+text, and of a component the rows of one id and text stay: the smallest id, then the smaller hash of the
+text.  Shingles are compared by 48 bits of
 their hash, sets by 64.  Columns of the input with the name of a result column are replaced.
 """
 
@@ -109,7 +113,7 @@ def _unpack(data: bytes) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
-_SKETCHED = "_key long, n_shingles long, node long, bands array<long>, sketch binary, members binary"
+_SKETCHED = "_key long, row long, n_shingles long, node long, bands array<long>, sketch binary, members binary"
 
 
 def _sketches(n: int, percent: int):
@@ -122,7 +126,7 @@ def _sketches(n: int, percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         for pdf in batches:
-            texts, keys = pdf["_text"].tolist(), pdf["_key"].tolist()
+            texts, keys, row = pdf["_text"].tolist(), pdf["_key"].tolist(), pdf["row"].tolist()
             for start, group in chunks(texts):
                 words, own = word_hashes(group)
                 h, own, _ = gram_hashes(words, own, n, len(group), short=True)
@@ -152,12 +156,12 @@ def _sketches(n: int, percent: int):
                 for i in range(len(group)):
                     key = keys[start + i]
                     key = None if pd.isna(key) else int(key)
+                    first = (key, row[start + i], int(size[i]), int(node[i]))
                     if fresh[i]:
-                        rows.append((key, int(size[i]), int(node[i]), bands[number[i]], sketch[number[i]].tobytes(),
-                                     _pack(h[end[i] - size[i]: end[i]])))
+                        rows.append((*first, bands[number[i]], sketch[number[i]].tobytes(), _pack(h[end[i] - size[i]: end[i]])))
                     else:
-                        rows.append((key, int(size[i]), int(node[i]), None, None, None))
-                out = pd.DataFrame(rows, columns=["_key", "n_shingles", "node", "bands", "sketch", "members"])
+                        rows.append((*first, None, None, None))
+                out = pd.DataFrame(rows, columns=["_key", "row", "n_shingles", "node", "bands", "sketch", "members"])
                 yield out.assign(_key=out["_key"].astype("Int64"))
 
     return run
@@ -241,11 +245,31 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_classes(df: DataFrame, text: str = "text", key: str = "doc_id", n: int = SHINGLE,
-                 percent: int = PERCENT) -> DataFrame:
-    """One row per row of ``df``: ``_key`` (its id), ``n_shingles``, ``component_id`` and ``kept``."""
+def _found(pairs: DataFrame, info: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Verified links (a, b) of pairs (a, b, comp): one for each ``a`` and component of ``b``."""
+    links = saved(_verified(_estimated(pairs, info, percent), info, percent))
+    theirs = labels.select(F.col("node").alias("b"), "comp")
+    return _kept(links.join(theirs, "b", "left").groupBy("a", F.coalesce("comp", "b").alias("comp")).agg(F.min("b").alias("b"))
+                 .select("a", "b"))
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after more links, of which only those between components count."""
+    of = lambda s: labels.select(F.col("node").alias(s), F.col("comp").alias(f"comp_{s}"))
+    across = links.join(of("a"), "a", "left").join(of("b"), "b", "left") \
+        .select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b")).where("a <> b").distinct()
+    of_comp = components(across).select(F.col("node").alias("old"), F.col("comp").alias("new"))
+    moved = labels.join(of_comp, F.col("comp") == F.col("old"), "left").select("node", F.coalesce("new", "comp").alias("comp"))
+    # a node without a link so far is a component of its own
+    alone = of_comp.join(labels, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("comp"))
+    return _kept(moved.unionByName(alone))
+
+
+def _classes(df: DataFrame, text: str, key: str, n: int, percent: int) -> DataFrame:
+    """One row per row of ``df``: ``_key``, ``row`` (hash of its text), ``n_shingles``, ``comp`` (null for an
+    empty set) and ``component_id``."""
     docs = saved(df.select(F.col(key).cast("long").alias("_key"), text_of(text).alias("_text"))
-                 .mapInPandas(_sketches(n, percent), _SKETCHED))
+                 .withColumn("row", F.xxhash64("_text")).mapInPandas(_sketches(n, percent), _SKETCHED))
     held = docs.where("bands IS NOT NULL")
     entries = held.select(F.posexplode("bands").alias("band", "bucket"), "node", "n_shingles")
     shared = entries.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last")
@@ -253,14 +277,20 @@ def near_classes(df: DataFrame, text: str = "text", key: str = "doc_id", n: int
     apart = "100 * least(n_a, n_b) >= {0} * greatest(n_a, n_b)".format(percent)
 
     leaders = buckets.where("node = leader").select("bucket", F.col("node").alias("b"), F.col("n_shingles").alias("n_b"))
-    pairs = buckets.where("node <> leader").select("bucket", F.col("node").alias("a"), F.col("n_shingles").alias("n_a")) \
-        .join(leaders, "bucket").where(apart).select("a", "b").distinct()
-    pairs = _kept(pairs)
+    pairs = saved(buckets.where("node <> leader").select("bucket", F.col("node").alias("a"), F.col("n_shingles").alias("n_a"))
+                  .join(leaders, "bucket").where(apart).groupBy("a", "b").agg(F.count("*").alias("buckets")))
     touched = _kept(buckets.select("node").distinct())
     info = saved(held.select("node", "n_shingles", "bands", "sketch", "members").join(_small(touched), "node", "left_semi")
                  .dropDuplicates(["node"]))
-    links = _kept(_verified(_estimated(pairs, info, percent), info, percent))
-    labels, before, leaders_now, own = components(links), 0, 1, None
+    best = _kept(pairs.groupBy("a").agg(F.min(F.struct(-F.col("buckets"), "b"))["b"].alias("b")))
+    labels = components(saved(_verified(_estimated(best, info, percent), info, percent)))
+    of = lambda s: labels.select(F.col("node").alias(s), F.col("comp").alias(f"comp_{s}"))
+    others = saved(pairs.select("a", "b").join(best, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+                   .where("coalesce(comp_a, a) <> coalesce(comp_b, b)").select("a", "b"))
+    found = _found(others, info, labels, percent)
+    if not found.isEmpty():
+        labels = _merged(labels, found)
+    before, leaders_now, own = 0, 1, None
     while True:
         comp = labels.select("node", "comp")
         now = buckets.select("band", "bucket", "node", "n_shingles").join(comp, "node", "left") \
@@ -286,28 +316,38 @@ def near_classes(df: DataFrame, text: str = "text", key: str = "doc_id", n: int
             .where(f"100 * {share} >= {percent} * (n_shingles_a + n_shingles_b - {share})") \
             .where((F.col("turn_a") >= leaders_now) | (F.col("node_a") > F.col("node_b"))) \
             .where(~F.arrays_overlap(F.slice("bands_a", F.lit(1), F.col("band")), F.slice("bands_b", F.lit(1), F.col("band"))))
-        pairs = _kept(met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+        pairs = saved(met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
         if not pairs.isEmpty():
-            found = _kept(_verified(_estimated(pairs, info, percent), info, percent))
+            found = _found(pairs, info, labels, percent)
             if not found.isEmpty():
-                links = links.union(found)
-                labels = components(links)
+                labels = _merged(labels, found)
 
     # the smallest id of each component
     least = docs.where("n_shingles > 0").groupBy("node").agg(F.min("_key").alias("least"))
     of_node = least.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     of_comp = of_node.groupBy("comp").agg(F.min("least").alias("component_id"))
-    named = _kept(of_node.join(of_comp, "comp").select(F.col("node").alias("_node"), "component_id"))
-    found = docs.select("_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")) \
+    named = _kept(of_node.join(of_comp, "comp").select(F.col("node").alias("_node"), "comp", "component_id"))
+    named = docs.select("_key", "row", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")) \
         .join(named, F.col("node") == F.col("_node"), "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("_key"))
-    return found.select("_key", "n_shingles", component.alias("component_id"), F.col("_key").eqNullSafe(component).alias("kept"))
+    return named.select("_key", "row", "n_shingles", "comp", component.alias("component_id"))
+
+
+def near_classes(df: DataFrame, text: str = "text", key: str = "doc_id", n: int = SHINGLE,
+                 percent: int = PERCENT) -> DataFrame:
+    """One row per row of ``df``: ``_key`` (its id), ``n_shingles``, ``component_id`` and ``kept``."""
+    return _classes(df, text, key, n, percent).select(
+        "_key", "n_shingles", "component_id", F.col("_key").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def near_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", n: int = SHINGLE,
                percent: int = PERCENT) -> DataFrame:
     """The rows of ``df`` that stay: one document of each component."""
-    name = free_name(df, "_dropped")
-    dropped = _kept(near_classes(df, text, key, n, percent).where("NOT kept AND _key IS NOT NULL")
-                    .select(F.col("_key").alias(name)).distinct())
-    return df.join(_small(dropped), F.col(key) == F.col(name), "left_anti")
+    rows = saved(_classes(df, text, key, n, percent).where("comp IS NOT NULL").select(
+        "comp", F.struct(F.col("_key").isNull().alias("unnamed"), "_key", "row").alias("this")).distinct())
+    stays = rows.groupBy("comp").agg(F.min("this").alias("first"), F.count("*").alias("n")).where("n > 1").select("comp", "first")
+    name, row = free_name(df, "_dropped"), free_name(df, "_dropped_row")
+    dropped = _kept(rows.join(stays, "comp").where("this <> first").select(
+        F.col("this._key").alias(name), F.col("this.row").alias(row)).distinct())
+    same = F.col(key).cast("long").eqNullSafe(F.col(name)) & (F.xxhash64(text_of(text)) == F.col(row))
+    return df.join(_small(dropped), same, "left_anti")

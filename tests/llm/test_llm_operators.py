@@ -118,6 +118,42 @@ def test_near_classes_equal_all_pairs(spark, n):
     assert all(r.kept == (r._key == r.component_id) for r in got)
 
 
+def test_near_dedup_tells_rows_apart_by_id_and_text(spark):
+    one, other = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(3, one), (9, one), (9, other), (None, one), (None, ""), (None, ""), (4, None), (None, "c d e f g h")]
+    got = near.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(
+        [(3, one), (9, other), (None, ""), (None, ""), (4, None), (None, "c d e f g h")])
+    # texts near each other, all without an id or all of one id: one of them stays
+    copies = [one + f" z{i}" for i in range(5)]
+    for key in (None, 7):
+        got = near.near_dedup(spark.createDataFrame([(key, t) for t in copies], "doc_id long, text string")).collect()
+        assert len(got) == 1 and got[0].text in copies
+
+
+def test_a_crowd_costs_a_comparison_a_member(spark, monkeypatch):
+    """Candidate pairs of a group of near copies grow with its members, not with their square or their bands."""
+    counts = []
+    estimated = near._estimated
+
+    def counted(pairs, info, percent):
+        counts[-1] += pairs.count()
+        return estimated(pairs, info, percent)
+
+    monkeypatch.setattr(near, "_estimated", counted)
+    for size in (150, 600):
+        rng = random.Random(size)
+        base, texts = [f"v{i}" for i in range(120)], []
+        for i in range(size):
+            copy = list(base)
+            copy[rng.randrange(120)] = f"x{rng.randrange(500)}"
+            texts.append((i, " ".join(copy)))
+        counts.append(0)
+        got = near.near_classes(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+        assert all(r.component_id == 0 for r in got)
+    assert all(n <= 3 * size for n, size in zip(counts, (150, 600)))
+
+
 def test_near_classes_of_a_crowd(spark):
     """One large group of near copies around a text, most of them linked."""
     rng = random.Random(9)
