@@ -649,3 +649,24 @@ def test_stages_keep_the_columns(spark, sf):
             docs = stage(spark, docs, sf)
             assert docs.columns == [c.split()[0] for c in awkward.DOCS.split(", ")]
         assert stages.mix(spark, docs, sf).count() >= 0
+
+
+def test_pipeline_run_against_plain_stages(spark, sf):
+    """Whole run on the given tables; exact and near dedup compared with plain versions on their own input."""
+    import corpus_pipeline
+
+    docs, kept = spark.read.parquet(f"{sf}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs.collect()
+        docs = corpus_pipeline.saved(stage(spark, docs, sf))
+        kept[name] = (before, docs.collect())
+        assert {r.doc_id for r in kept[name][1]} <= {r.doc_id for r in before}
+    before, after = kept["exact dedup"]
+    assert len(after) == len({re.sub(r"[\x20\x09-\x0D]", "", r.text or "") for r in before})
+    before, after = kept["near dedup"]
+    label, _ = classes([(r.doc_id, r.text) for r in before])
+    assert sorted(r.doc_id for r in after) == sorted(i for i in label if label[i] == i)
+    mixed = corpus_pipeline.run(spark, sf).collect()
+    last = {r.doc_id: r.text for r in kept["decontamination"][1]}
+    assert mixed and all(last[r.doc_id] == r.text for r in mixed)
+    assert max(Counter(r.doc_id for r in mixed).values()) <= 3
