@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# Column names and keys of the data model.
 TEXT_COLUMNS = [
     "company_name", "company_url", "company_logo", "salary", "experience", "level",
     "work_type", "education", "industry", "location_short", "workplace_detail",
