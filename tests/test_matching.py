@@ -60,3 +60,17 @@ def test_long_titles_with_repeated_words(spark):
         got = sorted((r.source, r.job_url, r.status, r.kept_url) for r in resolve.resolve(frame(spark, rows), None, SOURCES, rule).collect())
         assert got == sorted(scan(plain(spark, rows), SOURCES, characters=characters))
         assert [s for _, _, s, _ in got] == ["kept", "duplicate", "kept", "duplicate"]
+
+
+def test_pairs_of_common_size_stay_in_tasks(spark, monkeypatch):
+    """Only a pair too large for a task has its equal characters as rows."""
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnopqrst ") for _ in range(n))
+    rows = [(text(3000), text(3000)), ("x" + text(400), "x" + text(900)), ("ab" * 90, "ba" * 99)]
+    asked = []
+    monkeypatch.setattr(matching, "_in_rows", lambda texts: asked.append(texts.count()) or [])
+    got = {(r.a, r.b): r.ratio for r in S.with_ratios(spark.createDataFrame(rows, "a string, b string"), {"ratio": ("a", "b")}).collect()}
+    assert got == {(a, b): SequenceMatcher(None, a, b).ratio() for a, b in rows} and not asked
+    monkeypatch.setattr(matching, "FEW", 100)
+    S.with_ratios(spark.createDataFrame(rows, "a string, b string"), {"ratio": ("a", "b")}).collect()
+    assert sum(asked) == 1          # in the long texts every letter is too frequent to be joined
