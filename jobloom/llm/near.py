@@ -10,9 +10,10 @@
 3. **Pairs.**  Texts with equal shingle sets are one node from the start.  A bucket does not pair all its
    nodes: each is compared with the bucket's leader.  Of its buckets' leaders a node first meets the one it
    shares most buckets with, and the others only if they are in another component by then, so a group of
-   many copies costs one comparison a member.  Buckets whose nodes are not all in one component after that
-   go on with 8, 64, 512, ... leaders, until every pair across components was compared or ruled out:
-   shingles that no other text of these buckets has bound what a text can share.  Nothing is capped.
+   many copies costs one comparison a member.  In buckets whose nodes are not all in one component after that,
+   every pair across components is compared or ruled out: shingles that no other text of these buckets has
+   bound what a text can share.  Buckets of few nodes make rows of pairs; a larger one is cut into blocks, and
+   each task multiplies the sets of two blocks as arrays.  Nothing is capped.
 4. **Likelihood.**  The numbers of registers in which one text is ahead, behind or equal, with the known
    set sizes, give the likelihood of every similarity.  Pairs that are surely below the threshold go.
 5. **Verification.**  The others are compared on their whole sets.  Of the links found, one for each node and
@@ -46,7 +47,9 @@ BANDS = REGISTERS // BAND
 SHINGLE = 5
 PERCENT = 80           # least similarity
 DOUBT = 16.0           # log likelihood by which a pair must be worse at the threshold to be dropped
-GROWTH = 8             # of the number of leaders from round to round
+PAIRED = 8             # nodes of a bucket up to which they are paired as rows
+BLOCK = 256            # nodes of a larger bucket that are compared as arrays with as many others
+COLUMNS = 4096         # shingles of one round of that
 FEWER_FILES = 8        # times fewer than shuffle partitions, for tables of links and labels
 BROADCAST_ROWS = 1_000_000   # of numbers, some 16 bytes each
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -265,6 +268,80 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return _kept(moved.unionByName(alone))
 
 
+def _mixed(entries: DataFrame) -> DataFrame:
+    """``entries`` of the buckets that hold several components, with the ``size`` of their bucket."""
+    several = entries.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("size")) \
+        .where("c1 <> c2").select("bucket", "size")
+    return entries.join(several, "bucket")
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what the links ``a``, ``b`` connect, each to the smallest number reachable."""
+    names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a):]
+    label = np.arange(len(names))
+    while True:
+        least = np.minimum(label[x], label[y])
+        after = label.copy()
+        np.minimum.at(after, x, least)
+        np.minimum.at(after, y, least)
+        after = after[after]
+        if (after == label).all():
+            moved = np.flatnonzero(label < np.arange(len(names)))
+            return names[moved], names[label[moved]]
+        label = after
+
+
+def _shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many members each set on the left has in common with each on the right."""
+    both = np.intersect1d(np.concatenate(left), np.concatenate(right))
+
+    def columns(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        values, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(both, values), max(len(both) - 1, 0))
+        hit = both[at] == values if len(both) else np.zeros(len(values), bool)
+        order = np.argsort(at[hit], kind="stable")
+        return at[hit][order], row[hit][order]
+
+    (col_l, row_l), (col_r, row_r) = columns(left), columns(right)
+    counts = np.zeros((len(left), len(right)), np.float64)
+    for low in range(0, len(both), COLUMNS):
+        tables = []
+        for col, row, n in ((col_l, row_l, len(left)), (col_r, row_r, len(right))):
+            some = slice(*np.searchsorted(col, [low, low + COLUMNS]))
+            table = np.zeros((n, min(COLUMNS, len(both) - low)), np.float32)
+            table[row[some], col[some] - low] = 1
+            tables.append(table)
+        counts += tables[0] @ tables[1].T      # of ones, COLUMNS at most: exact
+    return counts
+
+
+def _across(entries: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the components of each bucket, found on whole sets.
+
+    A bucket is cut into blocks, and a task has the sets of two blocks: it compares all their nodes as arrays and
+    returns a forest of the links, so what is returned grows with the nodes and not with their pairs.
+    """
+    blocks = F.ceil(F.col("size") / BLOCK)
+    tiles = entries.withColumn("block", F.pmod(F.xxhash64("node"), blocks)) \
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))) \
+        .select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "comp", "node")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+        left, right = pdf[pdf["block"] == i], pdf[pdf["block"] == j]
+        if not len(left) or not len(right) or pdf["comp"].nunique() < 2:
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        x, y = ([_unpack(m) for m in side["members"]] for side in (left, right))
+        both = _shared_counts(x, y)
+        union = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None, :] - both
+        a, b = left["comp"].to_numpy(), right["comp"].to_numpy()
+        k, m = np.nonzero((100 * both >= percent * union) & (a[:, None] != b[None, :]))
+        return pd.DataFrame(dict(zip("ab", _forest(a[k], b[m]))))
+
+    return tiles.join(info.select("node", "members"), "node").groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long")
+
+
 def _classes(df: DataFrame, text: str, key: str, n: int, percent: int) -> DataFrame:
     """One row per row of ``df``: ``_key``, ``row`` (hash of its text), ``n_shingles``, ``comp`` (null for an
     empty set) and ``component_id``."""
@@ -290,37 +367,26 @@ def _classes(df: DataFrame, text: str, key: str, n: int, percent: int) -> DataFr
     found = _found(others, info, labels, percent)
     if not found.isEmpty():
         labels = _merged(labels, found)
-    before, leaders_now, own = 0, 1, None
-    while True:
-        comp = labels.select("node", "comp")
-        now = buckets.select("band", "bucket", "node", "n_shingles").join(comp, "node", "left") \
-            .withColumn("comp", F.coalesce("comp", "node"))
-        mixed = now.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("size")) \
-            .where("c1 <> c2").select("bucket", "size")
-        rest = _kept(now.join(mixed, "bucket"))
-        if rest.isEmpty() or rest.where(F.col("size") > leaders_now).isEmpty():
-            break
-        before, leaders_now = (0 if own is None else leaders_now), leaders_now * GROWTH
-        if own is None:
-            own = _kept(_own_shingles(_kept(rest.select("node").distinct()), info))
+    now = buckets.select("band", "bucket", "node", "n_shingles").join(labels.select("node", "comp"), "node", "left") \
+        .withColumn("comp", F.coalesce("comp", "node"))
+    rest = _kept(_mixed(now))
+    if not rest.isEmpty():
+        own = _small(_kept(_own_shingles(_kept(rest.select("node").distinct()), info)))
         # n_shingles less those that nobody else has is the most a node can share
-        turn = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / F.lit(1 << 30) * F.col("size")
-        rest = rest.join(_small(own), "node", "left").withColumn("most", F.col("n_shingles") - F.coalesce("own", F.lit(0))) \
-            .where("100 * most >= {0} * n_shingles".format(percent)).withColumn("turn", turn) \
-            .where(F.col("turn") >= before).join(info.select("node", "bands"), "node")
-        side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("node", "comp", "n_shingles", "most", "turn", "bands")]
-        lead = rest.where(F.col("turn") < leaders_now).select("bucket", *side("b"))
-        # Each pair once: in the first band it shares, and when the first of both leads there.
+        rest = rest.join(own, "node", "left").withColumn("most", F.col("n_shingles") - F.coalesce("own", F.lit(0))) \
+            .where("100 * most >= {0} * n_shingles".format(percent)).drop("own", "size")
+        rest = _kept(_mixed(rest))
+        few = rest.where(F.col("size") <= PAIRED).join(info.select("node", "bands"), "node")
+        side = lambda s: few.select("bucket", "band", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "comp", "n_shingles", "most", "bands")])
+        # Each pair once: in the first band it shares.
         share = "least(most_a, most_b)"
-        met = rest.select("bucket", "band", *side("a")).join(lead, "bucket").where("comp_a <> comp_b") \
+        met = side("a").join(side("b").drop("band"), "bucket").where("comp_a <> comp_b and node_a < node_b") \
             .where(f"100 * {share} >= {percent} * (n_shingles_a + n_shingles_b - {share})") \
-            .where((F.col("turn_a") >= leaders_now) | (F.col("node_a") > F.col("node_b"))) \
             .where(~F.arrays_overlap(F.slice("bands_a", F.lit(1), F.col("band")), F.slice("bands_b", F.lit(1), F.col("band"))))
         pairs = saved(met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
-        if not pairs.isEmpty():
-            found = _found(pairs, info, labels, percent)
-            if not found.isEmpty():
-                labels = _merged(labels, found)
+        found = _found(pairs, info, labels, percent).unionByName(_kept(_across(rest.where(F.col("size") > PAIRED), info, percent)))
+        if not found.isEmpty():
+            labels = _merged(labels, found)
 
     # the smallest id of each component
     least = docs.where("n_shingles > 0").groupBy("node").agg(F.min("_key").alias("least"))

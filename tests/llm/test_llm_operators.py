@@ -169,6 +169,43 @@ def test_near_classes_of_a_crowd(spark):
     assert {r._key: r.component_id for r in got} == want
 
 
+def test_a_crowd_below_the_threshold_makes_no_rows_of_pairs(spark, monkeypatch):
+    """Texts that are near a common one, but hardly near each other: candidate rows grow with the members."""
+    counts = []
+    estimated = near._estimated
+
+    def counted(pairs, info, percent):
+        counts[-1] += pairs.count()
+        return estimated(pairs, info, percent)
+
+    monkeypatch.setattr(near, "_estimated", counted)
+    for size in (100, 400):
+        rng = random.Random(size)
+        texts = []
+        for i in range(size):
+            gone = set(rng.sample(range(60), 4))
+            texts.append((i, " ".join(f"v{k}" for k in range(120) if k // 2 not in gone or k % 2)))
+        counts.append(0)
+        want, _ = classes(texts, 5)
+        got = near.near_classes(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+        assert {r._key: r.component_id for r in got} == want
+        assert len(set(want.values())) > size / 2
+    assert counts[1] <= 8 * counts[0], counts
+
+
+def test_blocks_find_the_links_of_all_pairs():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 9000, rng.integers(1, 6000))).astype(np.uint64) for _ in range(30)]
+    assert near._shared_counts(sets[:10], sets[10:]).tolist() == [[len(np.intersect1d(x, y)) for y in sets[10:]] for x in sets[:10]]
+    a, b = rng.integers(0, 400, 300), rng.integers(0, 400, 300)
+    kept = list(zip(*(x.tolist() for x in near._forest(a, b))))
+    label = {int(n): int(n) for n in np.concatenate([a, b])}
+    for _ in range(400):
+        for x, y in zip(a.tolist(), b.tolist()):
+            label[x] = label[y] = min(label[x], label[y])
+    assert dict(kept) == {n: c for n, c in label.items() if n != c}
+
+
 def test_registers_estimate_similarity():
     rng = np.random.default_rng(5)
     a = rng.integers(0, 2**63, 900).astype(np.uint64)
