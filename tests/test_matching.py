@@ -74,3 +74,16 @@ def test_pairs_of_common_size_stay_in_tasks(spark, monkeypatch):
     monkeypatch.setattr(matching, "FEW", 100)
     S.with_ratios(spark.createDataFrame(rows, "a string, b string"), {"ratio": ("a", "b")}).collect()
     assert sum(asked) == 1          # in the long texts every letter is too frequent to be joined
+
+
+def test_trigram_similarity_equals_that_of_sets(spark, capsys):
+    """Texts are matched as arrays of numbers, not by a native list of strings for each text."""
+    rng = random.Random(8)
+    words = ["alpha", "Beta", "été", "ΣΊΣΥΦΟΣ", "İstanbul", "漢字", "𝒳𝒴𝒵", "x", "42", "a-b", "--", "\n", ""]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(0, 9))), " ".join(rng.choices(words, k=rng.randint(0, 9)))) for i in range(200)]
+    rows += [(900, None, None), (901, None, "a"), (902, "", " .,"), (903, "ab " * 3000, "ab ba " * 2000)]
+    df = spark.createDataFrame(rows, "id long, a string, b string")
+    new, old = S.trigram_similarity("a", "b"), S.set_overlap(S.trigrams("a"), S.trigrams("b"))
+    assert df.where(~new.eqNullSafe(old)).count() == 0 and df.where(new.isNull()).count() == 0
+    df.select(new.alias("sim")).explain()
+    assert "transform(" not in capsys.readouterr().out
