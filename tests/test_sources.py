@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from jobloom.sources import readers as rd
+from jobloom.sources import writers as wr
 
 SCHEMA = "job_url string, source string"
 
@@ -31,3 +32,21 @@ def test_settled_tables_do_not_change_rows(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     settled, failed = rd.settle_sources({"documents": docs})
     assert not failed and settled["documents"].exceptAll(docs).isEmpty() and settled["documents"].count() == docs.count()
+
+
+def test_both_raw_formats_work_the_rows_out_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def mark(text):
+        seen.add(1)
+        return text
+
+    rows = [(f"u{i}", "a\nb" if i % 3 else 'say "x", é') for i in range(200)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4).withColumn("source", F.udf(mark)("source"))
+    wr.write_bronze(df.where("job_url <> 'u7'"), str(tmp_path / "out"))
+    assert seen.value <= len(rows)
+    want = sorted(r for r in rows if r[0] != "u7")
+    assert sorted(tuple(r) for r in wr.read_csv(spark, str(tmp_path / "out/csv")).collect()) == want
+    assert sorted((r.job_url, r.source) for r in spark.read.json(str(tmp_path / "out/json")).collect()) == want
+    for part in (tmp_path / "out/csv").glob("part-*"):
+        assert part.read_bytes().startswith("\ufeffjob_url".encode()) and part.read_bytes().count(b"\n") > 1
