@@ -12,8 +12,9 @@
    shares most buckets with, and the others only if they are in another component by then, so a group of
    many copies costs one comparison a member.  In buckets whose nodes are not all in one component after that,
    every pair across components is compared or ruled out: shingles that no other text of these buckets has
-   bound what a text can share.  Buckets of few nodes make rows of pairs; a larger one is cut into blocks, and
-   each task multiplies the sets of two blocks as arrays.  Nothing is capped.
+   bound what a text can share.  Buckets of few nodes make rows of pairs; larger ones that share nodes are
+   joined if that leaves fewer pairs, and cut into blocks, one row each.  A task multiplies the sets of two blocks
+   as arrays.  Nothing is capped.
 4. **Likelihood.**  The numbers of registers in which one text is ahead, behind or equal, with the known
    set sizes, give the likelihood of every similarity.  Pairs that are surely below the threshold go.
 5. **Verification.**  The others are compared on their whole sets.  Of the links found, one for each node and
@@ -316,30 +317,61 @@ def _shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarra
     return counts
 
 
+def _groups(entries: DataFrame) -> DataFrame:
+    """(group, node, comp): the nodes that are to be compared with each other, from ``entries`` of buckets.
+
+    Near copies meet again in most of their buckets.  Where all nodes of the buckets that hang together make no more
+    pairs than these buckets one by one, they are one group, so a pair is compared once; else a bucket is a group.
+    """
+    sizes = _kept(entries.groupBy("bucket").agg(F.min("node").alias("b"), F.count("*").alias("size")))
+    edges = _kept(entries.join(_small(sizes), "bucket").select(F.col("node").alias("a"), "b").distinct())
+    hang = components(edges).withColumnRenamed("comp", "cluster")
+    of_bucket = sizes.join(hang.withColumnRenamed("node", "b"), "b")
+    whole = _kept(of_bucket.groupBy("cluster").agg(F.sum(F.col("size") * F.col("size")).alias("alone"))
+                  .join(hang.groupBy("cluster").agg(F.count("*").alias("nodes")), "cluster").where("nodes * nodes <= alone")
+                  .select("cluster", F.col("cluster").alias("whole")))
+    group = _kept(of_bucket.join(_small(whole), "cluster", "left").select("bucket", F.coalesce("whole", "bucket").alias("group")))
+    return _kept(entries.join(_small(group), "bucket").select("group", "node", "comp").distinct())
+
+
+def _blocks(nodes: DataFrame) -> DataFrame:
+    """``nodes`` (group, node, comp) with a ``block`` of about ``BLOCK`` nodes.  A component with more nodes in its group has
+    blocks of its own, which ``only`` names by it; the others share blocks."""
+    of_comp = _kept(nodes.groupBy("group", "comp").agg(F.count("*").alias("n")).withColumn("only", F.when(F.col("n") > BLOCK, F.col("comp"))))
+    total = _small(_kept(of_comp.groupBy("group", "only").agg(F.sum("n").alias("total"))))
+    number = F.pmod(F.xxhash64("node"), F.ceil(F.col("total") / BLOCK))
+    placed = of_comp.alias("c").join(total.alias("t"), F.expr("c.group = t.group AND c.only <=> t.only")) \
+        .select("c.group", "comp", "c.only", "total")
+    return nodes.join(placed, ["group", "comp"]).select("group", "node", "comp", "only", F.xxhash64("only", number).alias("block"))
+
+
 def _across(entries: DataFrame, info: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between the components of each bucket, found on whole sets.
 
-    A bucket is cut into blocks, and a task has the sets of two blocks: it compares all their nodes as arrays and
-    returns a forest of the links, so what is returned grows with the nodes and not with their pairs.
+    Nodes are packed into blocks, one row each, and a task has the sets of two blocks: it compares all their nodes as
+    arrays and returns a forest of the links, so rows grow with the nodes and not with their pairs.  Blocks of one
+    component are not compared with each other.
     """
-    blocks = F.ceil(F.col("size") / BLOCK)
-    tiles = entries.withColumn("block", F.pmod(F.xxhash64("node"), blocks)) \
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))) \
-        .select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "comp", "node")
+    nodes = saved(_blocks(_groups(entries)))
+    packed = saved(nodes.join(info.select("node", "members"), "node").groupBy("group", "block")
+                   .agg(F.collect_list(F.struct("comp", "members")).alias("sets")))
+    block = nodes.select("group", "block", "only").distinct()
+    first, second = (block.select("group", F.col("block").alias(s), F.col("only").alias(f"only_{s}")) for s in "ij")
+    tiles = first.join(second, "group").where("i <= j AND coalesce(only_i <> only_j, true)") \
+        .select("group", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        left, right = pdf[pdf["block"] == i], pdf[pdf["block"] == j]
-        if not len(left) or not len(right) or pdf["comp"].nunique() < 2:
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        left, right = pdf.iloc[0], pdf.iloc[-1]
         x, y = ([_unpack(m) for m in side["members"]] for side in (left, right))
         both = _shared_counts(x, y)
         union = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None, :] - both
-        a, b = left["comp"].to_numpy(), right["comp"].to_numpy()
+        a, b = np.asarray(left["comps"]), np.asarray(right["comps"])
         k, m = np.nonzero((100 * both >= percent * union) & (a[:, None] != b[None, :]))
         return pd.DataFrame(dict(zip("ab", _forest(a[k], b[m]))))
 
-    return tiles.join(info.select("node", "members"), "node").groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long")
+    tasks = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = tiles.join(packed, ["group", "block"]).select("group", "i", "j", F.col("sets.comp").alias("comps"), F.col("sets.members").alias("members"))
+    return dealt.repartition(tasks, "group", "i", "j").groupBy("group", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 def _classes(df: DataFrame, text: str, key: str, n: int, percent: int) -> DataFrame:
@@ -384,7 +416,10 @@ def _classes(df: DataFrame, text: str, key: str, n: int, percent: int) -> DataFr
             .where(f"100 * {share} >= {percent} * (n_shingles_a + n_shingles_b - {share})") \
             .where(~F.arrays_overlap(F.slice("bands_a", F.lit(1), F.col("band")), F.slice("bands_b", F.lit(1), F.col("band"))))
         pairs = saved(met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
-        found = _found(pairs, info, labels, percent).unionByName(_kept(_across(rest.where(F.col("size") > PAIRED), info, percent)))
+        found = _found(pairs, info, labels, percent)
+        crowded = rest.where(F.col("size") > PAIRED)
+        if not crowded.isEmpty():
+            found = found.unionByName(saved(_across(crowded, info, percent)))
         if not found.isEmpty():
             labels = _merged(labels, found)
 

@@ -11,6 +11,7 @@ from pathlib import Path
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql.group import GroupedData
 from tokenizers import Tokenizer
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
@@ -193,6 +194,43 @@ def test_a_crowd_below_the_threshold_makes_no_rows_of_pairs(spark, monkeypatch):
     assert counts[1] <= 8 * counts[0], counts
 
 
+def test_crowded_buckets_are_compared_as_rows_of_blocks(spark, monkeypatch):
+    """A group that meets in many buckets: each node is packed once, and rows of blocks are far fewer than nodes."""
+    counts = []
+    grouped = GroupedData.applyInPandas
+
+    def counted(self, *args, **kwargs):
+        counts.append(self._df.count())
+        return grouped(self, *args, **kwargs)
+
+    monkeypatch.setattr(GroupedData, "applyInPandas", counted)
+    monkeypatch.setattr(near, "BLOCK", 64)
+    rng = random.Random(3)
+    texts = []
+    for i in range(400):
+        gone = set(rng.sample(range(60), 4))
+        texts.append((i, " ".join(f"v{k}" for k in range(120) if k // 2 not in gone or k % 2)))
+    want, _ = classes(texts, 5)
+    got = near.near_classes(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {r._key: r.component_id for r in got} == want
+    assert counts and max(counts) <= 100, counts
+
+
+def test_buckets_that_hang_together_are_one_group_if_that_is_less(spark):
+    entries = [(b, n, n % 7) for b in range(5) for n in range(40)]                # five buckets of the same nodes
+    entries += [(100 + k, n, n) for k in range(3) for n in (1000 + k, 1001 + k)]      # a chain: cheaper one by one
+    got = near._groups(spark.createDataFrame(entries, "bucket long, node long, comp long")).collect()
+    nodes = defaultdict(list)
+    for r in got:
+        nodes[r.group].append(r.node)
+    assert sorted(map(sorted, nodes.values())) == [list(range(40)), [1000, 1001], [1001, 1002], [1002, 1003]]
+    rows = [(1, n, 1 if n < 700 else n) for n in range(1000)]
+    blocks = near._blocks(spark.createDataFrame(rows, "group long, node long, comp long")).collect()
+    assert sorted(r.node for r in blocks) == list(range(1000))
+    assert {(r.comp, r.only) for r in blocks if r.only is not None} == {(1, 1)}
+    assert max(Counter(r.block for r in blocks).values()) < 2 * near.BLOCK and len({r.block for r in blocks}) == 5
+
+
 def test_blocks_find_the_links_of_all_pairs():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 9000, rng.integers(1, 6000))).astype(np.uint64) for _ in range(30)]
