@@ -8,7 +8,8 @@ its content alone, one place inside it (the smallest hash of a run of ``GRAM`` b
 equal places and only the suffixes at picked places, about one in forty, have to be sorted:
 
 1. **Places.**  Each task picks the places of its documents, with the range of strings that picked each.
-   Hashes go to hash ranges as packed arrays, once per task; places whose hash occurs once are done.
+   Hashes go to hash ranges as packed arrays, once per task; places whose hash occurs once are done.  What a
+   task knows already goes along, so neither places nor runs are kept as tables beside their shuffles.
 2. **Runs.**  The suffixes at the other places, with the bytes before them, are sorted in each task.
    Equal ones within a task are decided at once and only the earliest goes on, so a passage that a third
    of all documents share is sent once per task.  The sorted run is cut by hash range of the first bytes
@@ -24,6 +25,8 @@ equal places and only the suffixes at picked places, about one in forty, have to
    equal strings are removed.
 5. **Documents.**  The removed stretches of a document are united, and the rest is put together.
 
+Places, runs and texts cross their shuffles compressed.
+
 Defined cases: null counts as empty; texts shorter than ``LENGTH`` bytes keep everything; a null id comes after
 all others; rows that repeat id and text are one document and get the same result; rows that repeat only the
 id are ordered by a hash of their text.  Left parts and texts are compared by 64-bit hashes.  Columns of
@@ -37,8 +40,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 from jobloom.llm.common import _power_tables, free_name, give_back_memory, mix, text_of
 from jobloom.session import saved
@@ -60,6 +65,32 @@ SPOT = np.dtype([("at", "<u4"), ("least", "u1"), ("most", "u1")])
 RUN = np.dtype([("id", "<i8"), ("print", "<i8"), ("at", "<u4"), ("least", "u1"), ("most", "u1"), ("shared", "u1"), ("rest", "u1")])
 STRETCH = "id long, print long, stretches binary"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_ZSTD = pa.Codec("zstd", compression_level=3)
+
+
+def _packed(data: bytes) -> bytes:
+    """Compressed bytes behind their length."""
+    return len(data).to_bytes(8, "little") + _ZSTD.compress(data, asbytes=True)
+
+
+def _unpacked(data: bytes) -> bytes:
+    return _ZSTD.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+
+
+@F.pandas_udf(BinaryType())
+def packed_text(texts: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else _packed(t.encode("utf-8")) for t in texts], dtype=object)
+
+
+@F.pandas_udf(StringType())
+def unpacked_text(texts: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else _unpacked(t).decode("utf-8") for t in texts], dtype=object)
+
+
+def _aside(ids: np.ndarray, prints: np.ndarray, ranges: int) -> np.ndarray:
+    """Negative range numbers, for rows of documents that only pass by."""
+    with np.errstate(over="ignore"):
+        return -1 - _by_range(mix(ids.astype(np.int64).view(np.uint64) * _ODD + prints.astype(np.int64).view(np.uint64)), ranges)
 
 
 # ---- 1. places ---------------------------------------------------------------------------------
@@ -135,6 +166,18 @@ def _by_range(hashes: np.ndarray, ranges: int) -> np.ndarray:
 _PICKED = ["id", "print", "spots", "part", "places"]
 
 
+def _flat(places: np.ndarray) -> bytes:
+    """Places by document, each byte of a field as a column of its own: most of these are alike."""
+    places = places[np.lexsort((places["at"], places["print"], places["id"]))]
+    return _packed(np.ascontiguousarray(places).view(np.uint8).reshape(len(places), PLACE.itemsize).T.tobytes())
+
+
+def _unflat(data: bytes) -> np.ndarray:
+    data = _unpacked(data)
+    table = np.frombuffer(data, np.uint8).reshape(PLACE.itemsize, len(data) // PLACE.itemsize)
+    return np.ascontiguousarray(table.T).view(PLACE).reshape(-1)
+
+
 def _pick(ranges: int):
     """Places by hash range, one of each hash.  Those that repeat within the task are known to repeat: they come as
     rows of their documents besides."""
@@ -147,7 +190,8 @@ def _pick(ranges: int):
         same = h[1:] == h[:-1]
         known = np.concatenate([[False], same]) | np.concatenate([same, [False]])
         first = np.concatenate([[True], ~same])
-        yield _spots(places[known]).assign(part=-1, places=None)[_PICKED]
+        spots = _spots(places[known])
+        yield spots.assign(part=_aside(spots["id"].to_numpy(), spots["print"].to_numpy(), ranges), places=None)[_PICKED]
         some = places[first]
         some["count"] = np.diff(np.append(np.flatnonzero(first), len(places)))
         del places, h, same, known
@@ -155,7 +199,7 @@ def _pick(ranges: int):
         order = np.argsort(part, kind="stable")
         some, cut = some[order], np.searchsorted(part[order], np.arange(ranges + 1))
         for p in np.flatnonzero(np.diff(cut)):
-            out = pd.DataFrame({"id": [None], "print": [None], "spots": [None], "part": [p], "places": [some[cut[p]: cut[p + 1]].tobytes()]})
+            out = pd.DataFrame({"id": [None], "print": [None], "spots": [None], "part": [p], "places": [_flat(some[cut[p]: cut[p + 1]])]})
             yield out.astype({"id": "Int64", "print": "Int64"})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -191,10 +235,14 @@ _REPEATED = "id long, print long, spots binary, hash long, n long"
 
 def _repeated(least: int):
     """Of the places of one range: those whose hash several tasks have.  Then, as rows without a document, the
-    hashes of at least so many places with their numbers, and the number of all places."""
+    hashes of at least so many places with their numbers, and the number of all places.  Spots that a task has found
+    stay as they are."""
+    whole = {c: "Int64" for c in ("id", "print", "hash", "n")}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        places = np.frombuffer(b"".join(pdf["places"]), PLACE)
+        if pdf["part"].iloc[0] < 0:
+            return pdf[["id", "print", "spots"]].assign(hash=None, n=None).astype(whole)
+        places = np.concatenate([_unflat(d) for d in pdf["places"]])
         places = places[np.argsort(places["hash"], kind="stable")]
         first = np.flatnonzero(np.concatenate([[True], places["hash"][1:] != places["hash"][:-1]]))
         tasks = np.diff(np.append(first, len(places)))
@@ -203,7 +251,6 @@ def _repeated(least: int):
         found = _spots(places[np.repeat(tasks > 1, tasks)]).assign(hash=None, n=None)
         counts = pd.DataFrame({"hash": [*places["hash"][first[many]].view(np.int64).tolist(), None], "n": [*n[many].tolist(), int(n.sum())]})
         counts = counts.assign(id=None, print=None, spots=None)[list(found.columns)]
-        whole = {c: "Int64" for c in ("id", "print", "hash", "n")}
         return pd.concat([found.astype(whole), counts.astype(whole)], ignore_index=True)
 
     return run
@@ -313,7 +360,7 @@ def _strings_alone(spots: np.ndarray, times: np.ndarray) -> np.ndarray:
 _RUNS = "part int, run binary, id long, print long, stretches binary"
 
 
-def _make_runs(ranges: int, hot: np.ndarray):
+def _make_runs(ranges: int, hot: np.ndarray, pack: bool):
     def sorted_runs(spots: np.ndarray, ids: np.ndarray, prints: np.ndarray, text: np.ndarray,
                     place: np.ndarray) -> Iterator[tuple[int, bytes | None, pd.DataFrame | None]]:
         crowded = np.isin(_gram_at(text, place), hot) if len(hot) else np.zeros(len(spots), dtype=bool)
@@ -334,16 +381,17 @@ def _make_runs(ranges: int, hot: np.ndarray):
             held.clear()
             for p, data, stretches in sorted_runs(spots, ids, prints, text, place):
                 if stretches is None:
-                    yield pd.DataFrame({"part": [p], "run": [data], "id": [None], "print": [None], "stretches": [None]}).astype(
+                    yield pd.DataFrame({"part": [p], "run": [_packed(data) if pack else data], "id": [None], "print": [None], "stretches": [None]}).astype(
                         {"id": "Int64", "print": "Int64"})
                 else:
-                    yield stretches.assign(part=-1, run=None)[["part", "run", "id", "print", "stretches"]]
+                    part = _aside(stretches["id"].to_numpy(), stretches["print"].to_numpy(), ranges)
+                    yield stretches.assign(part=part, run=None)[["part", "run", "id", "print", "stretches"]]
 
         offset = 0
         for pdf in batches:
-            for i, d, t, lists in zip(pdf["id"], pdf["print"], pdf["text"], pdf["spots"]):
+            for i, d, t, lists in zip(pdf["id"], pdf["print"], pdf["packed"], pdf["spots"]):
                 spots = np.unique(np.frombuffer(b"".join(lists), SPOT))
-                data = np.frombuffer(t.encode("utf-8"), np.uint8)
+                data = np.frombuffer(_unpacked(t), np.uint8)
                 held.append((spots, np.full(len(spots), i, np.int64), np.full(len(spots), d, np.int64), data,
                              spots["at"].astype(np.int64) + offset))
                 offset += len(data)
@@ -442,8 +490,10 @@ def merge(runs: list[Run]) -> tuple[list[int], list[int]]:
 # ---- 4. strings --------------------------------------------------------------------------------
 
 def _merge_range(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Removed stretches from the runs of one range."""
-    runs = [Run(d) for d in pdf["run"]]
+    """Removed stretches from the runs of one range; those that a task has found stay as they are."""
+    if pdf["part"].iloc[0] < 0:
+        return pdf[["id", "print", "stretches"]]
+    runs = [Run(_unpacked(d)) for d in pdf["run"]]
     order, shares = merge(runs)
     # the records in merged order: those of a run keep theirs
     at = np.empty(len(order), np.int64)
@@ -490,8 +540,7 @@ def _merge_range(pdf: pd.DataFrame) -> pd.DataFrame:
 
 # ---- 5. documents ------------------------------------------------------------------------------
 
-def _kept(text: str, lists: list[bytes] | None) -> tuple[int, int, int, str, str]:
-    data = text.encode("utf-8")
+def _kept(data: bytes, lists: list[bytes] | None) -> tuple[int, int, int, str, str]:
     pieces, removed, spans, at = [], 0, 0, 0
     if lists is not None and len(lists):
         parts = np.frombuffer(b"".join(lists), "<i8").reshape(-1, 2)
@@ -516,16 +565,15 @@ def _dealt(df: DataFrame, ranges: int) -> DataFrame:
     return df.repartition(min(ranges, 8 * tasks), "part")
 
 
-def repeat_runs(docs: DataFrame, ranges: int, hot_places: int = HOT) -> DataFrame:
-    """Sorted, front-coded runs by range (``part``, ``run``), and as rows with ``part`` -1 the stretches that were decided
-    within a task.  ``docs`` has ``id``, ``print`` and ``text``."""
-    places = saved(docs.mapInPandas(_pick(ranges), "id long, print long, spots binary, part int, places binary"))
-    repeated = saved(_dealt(places.where("part >= 0").select("part", "places"), ranges).groupBy("part").applyInPandas(_repeated(hot_places), _REPEATED))
+def repeat_runs(docs: DataFrame, ranges: int, hot_places: int = HOT, pack: bool = False) -> DataFrame:
+    """Sorted, front-coded runs by range (``part``, ``run``, with ``pack`` compressed), and as rows with a negative ``part``
+    the stretches that were decided within a task.  ``docs`` has ``id``, ``print`` and ``text``."""
+    places = docs.mapInPandas(_pick(ranges), "id long, print long, spots binary, part int, places binary")
+    repeated = saved(_dealt(places, ranges).groupBy("part").applyInPandas(_repeated(hot_places), _REPEATED))
     hot = hot_grams(repeated, hot_places)
-    spots = repeated.where("id IS NOT NULL").select("id", "print", "spots") \
-        .unionByName(places.where("part < 0").select("id", "print", "spots"))
-    of_doc = spots.groupBy("id", "print").agg(F.collect_list("spots").alias("spots"))
-    return saved(docs.join(of_doc, ["id", "print"]).mapInPandas(_make_runs(ranges, hot), _RUNS))
+    of_doc = repeated.where("id IS NOT NULL").groupBy("id", "print").agg(F.collect_list("spots").alias("spots"))
+    return docs.select("id", "print", packed_text("text").alias("packed")).join(of_doc, ["id", "print"]) \
+        .mapInPandas(_make_runs(ranges, hot, pack), _RUNS)
 
 
 def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", texts: bool = True, hot_places: int = HOT) -> DataFrame:
@@ -534,10 +582,10 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", texts
     ident: Column = F.coalesce(F.col(key).cast("long"), F.lit(LAST_ID)).alias("id")
     docs = df.select(ident, F.xxhash64(text_of(text)).alias("print"), text_of(text).alias("text"))
     id_, print_, lists, my_id, my_print, out = (free_name(df, n) for n in ("_id", "_print", "_lists", "_my_id", "_my_print", "_result"))
+    packed = free_name(df, "_packed")
     ranges = max(32, df.select(key).count() // RANGE_ROWS)
-    runs = repeat_runs(docs, ranges, hot_places)
-    merged = _dealt(runs.where("part >= 0").select("part", "run"), ranges).groupBy("part").applyInPandas(_merge_range, STRETCH)
-    stretches = merged.unionByName(runs.where("part < 0").select("id", "print", "stretches")) \
+    runs = repeat_runs(docs, ranges, hot_places, pack=True)
+    stretches = _dealt(runs, ranges).groupBy("part").applyInPandas(_merge_range, STRETCH) \
         .groupBy(F.col("id").alias(id_), F.col("print").alias(print_)).agg(F.collect_list("stretches").alias(lists))
 
     fields = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if texts else "")
@@ -546,11 +594,12 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", texts
     @F.pandas_udf(fields)
     def result(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for all_texts, all_lists in batches:
-            rows = [_kept(t, s)[: len(names)] for t, s in zip(all_texts, all_lists)]
+            rows = [_kept(b"" if t is None else _unpacked(t), s)[: len(names)] for t, s in zip(all_texts, all_lists)]
             yield pd.DataFrame(rows, columns=names)
 
-    joined = df.withColumn(my_id, ident).withColumn(my_print, F.xxhash64(text_of(text))) \
+    # the text crosses the join compressed only, and is unpacked again where a caller reads it
+    joined = df.withColumns({my_id: ident, my_print: F.xxhash64(text_of(text)), packed: packed_text(text)}).drop(text) \
         .join(stretches, (F.col(my_id) == F.col(id_)) & (F.col(my_print) == F.col(print_)), "left")
-    keep = [F.col(c) for c in df.columns if c.lower() not in names]
-    return joined.withColumn(out, result(text_of(text), F.col(lists))) \
+    keep = [unpacked_text(packed).alias(c) if c.lower() == text.lower() else F.col(c) for c in df.columns if c.lower() not in names]
+    return joined.withColumn(out, result(F.col(packed), F.col(lists))) \
         .select(*keep, *[F.col(f"{out}.{n}").alias(n) for n in names])

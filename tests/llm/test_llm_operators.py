@@ -566,6 +566,40 @@ def test_no_range_of_suffixes_grows_with_a_line_of_all_documents(spark):
         assert max(together) > sum(together) / 8
 
 
+def test_tables_kept_for_passages_are_few_bytes_of_the_texts(spark, monkeypatch):
+    """Places and runs are not written as tables beside their shuffles."""
+    kept = []
+    saved = passages.saved
+
+    def counted(df):
+        out = saved(df)
+        for c, kind in out.dtypes:
+            if kind == "binary":
+                kept.append(out.selectExpr(f"coalesce(sum(length({c})), 0)").first()[0])
+        return out
+
+    monkeypatch.setattr(passages, "saved", counted)
+    rng = random.Random(8)
+    docs = [(i, "".join(rng.choices("abcdefgh ", k=4000))) for i in range(60)]
+    docs += [(100 + i, docs[i][1][500:900] + docs[i + 1][1][:300]) for i in range(20)]
+    got = passages.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == plain_removal(docs)
+    assert {r.doc_id: r.text for r in got} == dict(docs)
+    assert sum(kept) < sum(len(t) for _, t in docs) / 20
+
+
+def test_places_and_texts_are_the_same_after_packing():
+    rng = np.random.default_rng(4)
+    places = np.zeros(5000, passages.PLACE)
+    places["hash"], places["id"] = rng.integers(0, 2**63, 5000), np.sort(rng.integers(-50, 900, 5000))
+    places["print"], places["at"], places["count"] = places["id"] * 7919, np.arange(5000), 1
+    again = passages._unflat(passages._flat(places))
+    assert np.array_equal(again, places) and len(passages._flat(places)) < places.nbytes / 2
+    assert len(passages._unflat(passages._flat(places[:0]))) == 0
+    for data in (b"", b"a", bytes(range(256)) * 50):
+        assert passages._unpacked(passages._packed(data)) == data
+
+
 def test_picked_places_are_dealt_evenly():
     """Places have the smallest hashes of their strings, and still no range gets more than the others."""
     data = np.random.default_rng(5).integers(97, 123, 400_000).astype(np.uint8)
